@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm import mixing
+from lexigrove.llm import media, mixing, topk, unit_dedup, warc
+from lexigrove.llm.common import shared_dir
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +17,38 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+def op4_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "warc")
+    manifest = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    back = warc.read_archives(manifest, folder)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = unit_dedup.dedup_units(docs)
+    cut = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["begin"])
+    return out.select("doc_id", F.size("removed").cast("long").alias("n_removed"), cut.alias("removed_chars"), "removed", "text")
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "media")
+    media.write_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
+    return media.features(media.read_media(spark, folder))
+
+
 QUERIES = {
+    "op3_exact_topk": op3_exact_topk,
+    "op4_warc_dictionary": op4_warc_dictionary,
     "op6_mix_sources": op6_mix_sources,
+    "op7_unit_dedup": op7_unit_dedup,
+    "op10_media": op10_media,
 }
 ORACLE = {
+    "op3_exact_topk": topk.ORACLE,
     "op6_mix_sources": mixing.ORACLE,
 }
