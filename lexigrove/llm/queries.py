@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm import media, mixing, topk, unit_dedup, warc
+from lexigrove.llm import langid, media, mixing, token_store, topk, unit_dedup, warc
 from lexigrove.llm.common import shared_dir
 
 
@@ -17,6 +17,26 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file; its bytes stay where they are."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    out = langid.identify_documents(docs)
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, docs = shared_dir(spark, "tokens"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    manifest = token_store.write_tokens(docs, tokenizer_file("byte_bpe_50k.json"), folder)
+    back = token_store.read_tokens(manifest, folder)
+    return back.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
@@ -42,6 +62,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_token_store": op2_token_store,
     "op3_exact_topk": op3_exact_topk,
     "op4_warc_dictionary": op4_warc_dictionary,
     "op6_mix_sources": op6_mix_sources,
