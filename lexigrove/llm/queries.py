@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm import langid, media, mixing, token_store, topk, unit_dedup, warc
+from lexigrove.llm import langid, media, mixing, near_dup, token_store, topk, unit_dedup, warc
 from lexigrove.llm.common import shared_dir
 
 
@@ -55,6 +55,11 @@ def op7_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("removed").cast("long").alias("n_removed"), cut.alias("removed_chars"), "removed", "text")
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select(F.col("id").alias("doc_id"), "class_id")
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "media")
     media.write_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
@@ -68,6 +73,7 @@ QUERIES = {
     "op4_warc_dictionary": op4_warc_dictionary,
     "op6_mix_sources": op6_mix_sources,
     "op7_unit_dedup": op7_unit_dedup,
+    "op9_near_dup": op9_near_dup,
     "op10_media": op10_media,
 }
 ORACLE = {
