@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm import langid, media, mixing, near_dup, token_store, topk, unit_dedup, warc
+from lexigrove.llm import langid, media, mixing, near_dup, pieces, token_store, topk, unit_dedup, warc
 from lexigrove.llm.common import shared_dir
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = pieces.with_round_trip(docs, tokenizer_file("piece_bpe_32k.model"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
@@ -71,6 +77,7 @@ QUERIES = {
     "op2_token_store": op2_token_store,
     "op3_exact_topk": op3_exact_topk,
     "op4_warc_dictionary": op4_warc_dictionary,
+    "op5_pieces": op5_pieces,
     "op6_mix_sources": op6_mix_sources,
     "op7_unit_dedup": op7_unit_dedup,
     "op9_near_dup": op9_near_dup,
