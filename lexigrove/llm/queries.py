@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm import langid, media, mixing, near_dup, pieces, token_store, topk, unit_dedup, warc
+from lexigrove.llm import html_text, langid, media, mixing, near_dup, pieces, token_store, topk, unit_dedup, warc
 from lexigrove.llm.common import shared_dir
 
 
@@ -61,6 +61,11 @@ def op7_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("removed").cast("long").alias("n_removed"), cut.alias("removed_chars"), "removed", "text")
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html_text.extract(pages)
+
+
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(F.col("id").alias("doc_id"), "class_id")
@@ -80,6 +85,7 @@ QUERIES = {
     "op5_pieces": op5_pieces,
     "op6_mix_sources": op6_mix_sources,
     "op7_unit_dedup": op7_unit_dedup,
+    "op8_main_text": op8_main_text,
     "op9_near_dup": op9_near_dup,
     "op10_media": op10_media,
 }
