@@ -11,10 +11,19 @@ subsequence of their symbols. Pairs with 0.8 or more cannot drift apart by more
 outside this band are left out before the subsequence is taken; that loses nothing.
 
 Classes are the connected components of verified pairs. Equal texts are grouped first by digest, and only one of them is
-sketched. Sketch groups are not expanded into pairs: each round compares the members of a group with a few pivots of it,
-unless they are linked already; then pivots leave the group, and groups whose rest is linked are done. Rounds take 1, 4,
-32, ... pivots until no group is left, so every candidate pair is compared or its texts are in one class. Hence a hot
-group of near copies collapses in the first rounds, in joins of its members with single pivots, which can be split.
+sketched. Groups of texts with equal sketches are never expanded into pairs:
+
+1. In each group the member with the most group mates (most likely the text that the others were copied from) is the
+   pivot, and the members are compared with it. Groups of one class are done.
+2. What is left of a small group (``SMALL``) is compared pair by pair.
+3. In a large group, let a member share ``a`` of its ``m`` symbols with the pivot. Two members whose common symbols all
+   belong to the pivot have at most ``min(a, a')`` in common; if that is too few for their lengths, they can only be similar
+   if they share some symbols that the pivot lacks, and their lengths say how many. So members are grouped anew by the
+   rarest of these symbols (the prefix filter of set joins), which are mostly a text's own and so meet nobody. The new
+   groups begin again at 1; if few members are not linked to the pivot, or after ``TURNS`` turns, these members are compared
+   with all in their new groups. So are members that could do without such a symbol, one being so much shorter.
+
+No candidate pair is dropped: it is compared, or its texts are in one class already, or it cannot reach the similarity.
 
 Defined results: null text is a class of its own, and so is a null id; rows that share id and text are one document;
 empty texts are copies of one another; the class id is the smallest document id in the class; an empty table gives an
@@ -39,7 +48,10 @@ WORDS, SIMILARITY = 5, 0.8
 KINDS = ((0, 29, 12, 2), (20, None, 32, 6))
 #: So many ids of 8 bytes are broadcast at most; beyond it, ids are joined by shuffling.
 BROADCAST_IDS = 2_000_000
-PIVOTS = (1, 4, 32, 256)
+SMALL = 8
+#: New groups with so few members that are not linked to the pivot, and all new groups from this turn on, are not given a
+#: pivot again: these members are compared with all.
+FEW, TURNS = 16, 3
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -158,26 +170,30 @@ def follow(labels: DataFrame, parent: DataFrame, key: str = "root") -> DataFrame
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
-    """(key, id) of the sketches of (id, text)."""
+    """(key, id, m) of the sketches of (id, text); ``m`` is the number of symbols."""
 
     def make(batches):
         symbols = Symbols()
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                keys = [sketches(symbols(t.as_py() or "")) for t in part.column(1)]
-                rows = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), part.column(0).take(rows)], ["key", "id"])
+                found = [symbols(t.as_py() or "") for t in part.column(1)]
+                keys = [sketches(x) for x in found]
+                counts = [len(k) for k in keys]
+                rows, sizes = pa.array(np.repeat(np.arange(len(keys)), counts)), np.repeat([len(x) for x in found], counts).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), part.column(0).take(rows), pa.array(sizes)], ["key", "id", "m"])
 
-    return docs.mapInArrow(make, "key long, id long")
+    return docs.mapInArrow(make, "key long, id long, m int")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """Those of the staged pairs (a, b) whose texts are similar enough. Only texts that some pair needs are shuffled."""
-    ids = staged(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
+def compared(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """The staged pairs (p, id, same, more, m_min) with linked, m, common and rest: whether the texts are similar enough (or
+    of one class: ``same``), and if ``more`` is wanted, how many symbols of ``id`` the pivot ``p`` has and which it lacks.
+    Only texts that some pair needs are shuffled."""
+    ids = staged(pairs.select(F.col("p").alias("id")).unionAll(pairs.select("id")).distinct(), "pair-ids")
     texts = by_ids(docs, ids, ["id"], "left_semi").dropDuplicates(["id"])
     texts = staged(texts, "pair-texts")
-    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    rows = rows.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    rows = pairs.join(texts.select(F.col("id").alias("p"), F.col("text").alias("tp")), "p").join(texts.select("id", "text"), "id")
+    kept = ["p", "id", "more", "m_min"]
 
     def check(batches):
         symbols, last = Symbols(), OrderedDict()
@@ -190,11 +206,92 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
             return last[key]
 
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = [similarity(of(x, batch.column(2)[i]), symbols(batch.column(3)[i].as_py() or ""), least) >= least for i, (x, _) in enumerate(zip(a, b, strict=True))]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return rows.mapInArrow(check, "a long, b long")
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                pivots, same, more = (part.column(i).to_pylist() for i in (0, 4, 2))
+                linked, sizes, common, rest = [], [], [], []
+                for i, p in enumerate(pivots):
+                    a, b = of(p, part.column(5)[i]), symbols(part.column(6)[i].as_py() or "")
+                    linked.append(same[i] or similarity(a, b, least) >= least)
+                    lacking = b[~np.isin(b, a)] if more[i] else b[:0]
+                    sizes.append(len(b))
+                    common.append(len(b) - len(lacking))
+                    rest.append(lacking.view(np.int64))
+                offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in rest])].astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*rest, np.empty(0, np.int64)])))
+                made = [pa.array(linked, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(common, pa.int32()), lists]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *made], [*kept, "linked", "m", "common", "rest"])
+
+    schema = "p long, id long, more boolean, m_min int, linked boolean, m int, common int, rest array<long>"
+    return rows.select(*kept, "same", "tp", "text").mapInArrow(check, schema)
+
+
+def regrouped(found: DataFrame, least: float) -> DataFrame:
+    """(key, id, m, linked, unlinked): members of large groups by the symbols that their pivot lacks, with the number of those
+    that are not linked to it."""
+    # a partner has at least this many symbols in common, and all but the pivot's are among those that the pivot lacks
+    shortest = F.greatest(F.col("m_min"), F.ceil(F.col("m") * F.lit(least) - F.lit(1e-6)))
+    need = F.ceil((F.col("m") + shortest) * F.lit(least / (1 + least)) - F.col("common") - F.lit(1e-6)).cast("int")
+    lacking = found.select("p", "id", "m", "linked", need.alias("need"), F.explode("rest").alias("s"))
+    counts = staged(lacking.groupBy("p", "s").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    own = Window.partitionBy("p", "id")
+    # in order of rarity, two texts that share as many meet in what precedes the last need - 1; lone symbols meet none
+    early = lacking.join(counts, ["p", "s"]).withColumns({"r": F.row_number().over(own.orderBy("n", "s")), "of": F.count("*").over(own)})
+    early = early.where(F.col("r") <= F.col("of") - F.col("need") + 1)
+    early = staged(early.select(F.xxhash64("p", "s").alias("key"), "id", "m", "linked"), "early")
+    shared = early.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("unlinked")).where("n > 1 AND unlinked > 0")
+    return staged(early.join(staged(shared.select("key", "unlinked"), "shared"), "key"), "regrouped")
+
+
+def within_pivot(found: DataFrame, least: float) -> DataFrame:
+    """Pairs (p, id) of members that can be similar by what they share with their pivot alone: the one
+    is longer than all that it has in common with the pivot allows for, and the other as much shorter."""
+    reach = F.floor(F.col("common") * F.lit((1 + least) / least) - F.col("m") + F.lit(1e-6)).cast("int")
+    able = found.select("p", "id", "m", "linked", reach.alias("reach"), "m_min")
+    long_ = able.where("NOT linked AND reach >= m_min").select("p", F.col("id").alias("l_id"), F.col("m").alias("l_m"), F.col("reach").alias("l_reach"))
+    most = staged(long_.groupBy("p").agg(F.max("l_reach").alias("most")), "reach")
+    short = staged(able.join(most, "p").where("m <= most").select("p", "id", "m", "reach"), "short")
+    near = (F.col("m") <= F.col("l_reach")) & (F.col("l_m") <= F.col("reach")) & (F.col("m") >= F.col("l_m") * F.lit(least) - F.lit(1e-6))
+    pairs = long_.join(short, "p").where(near & (F.col("id") != F.col("l_id")))
+    return pairs.select(F.least("id", "l_id").alias("p"), F.greatest("id", "l_id").alias("id"))
+
+
+def unlinked_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (p, id) of the unlinked members of groups with all members."""
+    one = members.where("NOT linked").select("key", F.col("id").alias("u_id"))
+    pairs = one.join(members.select("key", "id"), "key").where("id <> u_id")
+    return pairs.select(F.least("id", "u_id").alias("p"), F.greatest("id", "u_id").alias("id"))
+
+
+def apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Distinct pairs (p, id) of different classes."""
+    pairs = pairs.distinct()
+    if labels is None:
+        return pairs
+    roots = labels.select(F.col("node").alias("p"), F.col("root").alias("p_root"))
+    pairs = follow(pairs.withColumn("root", F.col("id")), labels).join(roots, "p", "left")
+    return pairs.where("root <> coalesce(p_root, p)").select("p", "id")
+
+
+def with_roots(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    rows = rows.withColumn("root", F.col("id"))
+    return rows if labels is None else follow(rows, labels)
+
+
+def open_groups(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(key, id, m, root, n, m_min) of members (key, id, m) in groups of more than one class."""
+    rooted = with_roots(members, labels)
+    stats = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("m").alias("m_min"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    # a table of its own, so that a hot key's rows can be split in the join
+    stats = staged(stats.where("lo < hi").select("key", "n", "m_min"), "group-sizes")
+    return staged(rooted.join(stats, "key"), "groups")
+
+
+def joined_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Labels after the links (a, b) between ids."""
+    if labels is None:
+        return components(links)
+    found = components(follow(follow(links, labels, "a"), labels, "b"))
+    return staged(follow(labels, found).unionAll(found.join(labels, "node", "left_anti")), "labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -203,39 +300,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     light = rows.select("id", F.xxhash64("text").alias("text_hash"), F.md5(F.col("text").cast("binary")).alias("fp"))
     known = light.where("id IS NOT NULL AND fp IS NOT NULL")
     shared = known.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = staged(known.join(shared, "fp").where("id <> rep").select("id", "text_hash", "rep"), "copies")
+    copies = staged(known.join(staged(shared, "copied"), "fp").where("id <> rep").select("id", "text_hash", "rep"), "copies")
     texts = by_ids(
         rows.where("id IS NOT NULL AND text IS NOT NULL").withColumn("text_hash", F.xxhash64("text")),
         copies.select("id", "text_hash").distinct(), ["id", "text_hash"], "left_anti",
     ).select("id", "text")
-    keys = staged(sketch_table(texts), "sketches")
-    groups = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    open_ = staged(keys.join(groups, "key").distinct(), "groups")
-    labels, tested, turn = None, None, 0
-    while not open_.isEmpty():
-        most = PIVOTS[turn] if turn < len(PIVOTS) else PIVOTS[-1] * 8 ** (turn - len(PIVOTS) + 1)
-        own = open_.withColumn("root", F.col("id")) if labels is None else follow(open_.withColumn("root", F.col("id")), labels)
-        own = staged(own, "groups-rooted")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(turn)) if turn else F.col("id"), "id"))
-        pivots = staged(own.withColumn("r", rank).where(F.col("r") <= most).select("key", F.col("id").alias("p"), F.col("root").alias("p_root")), "pivots")
-        pairs = own.join(pivots, "key").where("root <> p_root")
-        pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            tested = pairs if tested is None else tested.unionAll(pairs)
-            links = verified(pairs, texts, least)
-            if labels is not None:
-                links = follow(follow(links, labels, "a"), labels, "b")
-            found = components(links)
-            if labels is None:
-                labels = found
-            else:
-                more = found.join(labels, "node", "left_anti")
-                labels = staged(follow(labels, found).unionAll(more), "labels")
-        left = own.join(pivots.select("key", F.col("p").alias("id")), ["key", "id"], "left_anti")
-        left = left if labels is None else follow(left.withColumn("root", F.col("id")), labels)
-        still = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        open_ = staged(left.join(still, "key").select("key", "id"), "groups")
+    labels, turn, again = None, 0, None
+    groups = open_groups(staged(sketch_table(texts), "sketches"), None)
+    while again is not None or not groups.isEmpty():
+        degree = groups.groupBy("id").agg(F.sum("n").alias("degree"))
+        ranked = groups.join(degree, "id").groupBy("key").agg(F.max_by(F.struct("id", "root"), F.struct("degree", -F.col("id"))).alias("p"))
+        pivots = staged(ranked.select("key", F.col("p.id").alias("p"), F.col("p.root").alias("p_root")), "pivots")
+        members = groups.join(pivots, "key").where("id <> p")
+        pairs = members.groupBy("p", "id").agg(
+            F.bool_and(F.expr("root = p_root")).alias("same"), (F.max("n") > SMALL).alias("more"), F.min("m_min").alias("m_min")
+        )
+        pairs = pairs.where("more OR NOT same")
+        pairs = staged(pairs if again is None else pairs.unionByName(again), "pairs")
+        found = staged(compared(pairs, texts, least), "compared")
+        labels = joined_labels(labels, found.where("linked").select(F.col("p").alias("a"), F.col("id").alias("b")))
+        few = members.where(F.col("n").between(3, SMALL)).select("key", "id", F.lit(False).alias("linked"))
+        again, large, new = unlinked_pairs(few), staged(found.where("more AND NOT linked").select("p").distinct(), "left"), None
+        if not large.isEmpty():
+            rest = staged(found.where("more").join(large, "p", "left_semi"), "rest")
+            new = regrouped(rest, least)
+            direct = (F.col("unlinked") <= FEW) | F.lit(turn >= TURNS)
+            again = again.unionAll(unlinked_pairs(new.where(direct))).unionAll(within_pivot(rest, least))
+            new = new.where(~direct).select("key", "id", "m").distinct()
+        tested = found.select(F.least("p", "id").alias("p"), F.greatest("p", "id").alias("id"))
+        again = apart(again, labels).join(tested, ["p", "id"], "left_anti")
+        again = staged(again.select("p", "id", F.lit(False).alias("same"), F.lit(False).alias("more"), F.lit(0).alias("m_min")), "again")
+        again = None if again.isEmpty() else again
+        groups = groups.limit(0) if new is None else open_groups(new, labels)
         turn += 1
     out = light.join(copies.distinct(), ["id", "text_hash"], "left").withColumn("root", F.coalesce("rep", "id"))
     if labels is not None:
