@@ -14,7 +14,8 @@ Classes are the connected components of verified pairs. Equal texts are grouped
 sketched. Groups of texts with equal sketches are never expanded into pairs:
 
 1. In each group the member with the most group mates (most likely the text that the others were copied from) is the
-   pivot, and the members are compared with it. Groups of one class are done.
+   pivot, and the members are compared with it; large groups take the best pivot that their members meet in any of theirs.
+   Groups of one class are done.
 2. What is left of a small group (``SMALL``) is compared pair by pair.
 3. In a large group, let a member share ``a`` of its ``m`` symbols with the pivot. Two members whose common symbols all
    belong to the pivot have at most ``min(a, a')`` in common; if that is too few for their lengths, they can only be similar
@@ -286,6 +287,19 @@ def open_groups(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return staged(rooted.join(stats, "key"), "groups")
 
 
+def pivots_of(groups: DataFrame) -> DataFrame:
+    """(key, p, p_root): the member with the most group mates; in large groups, the best of those that members meet in any large
+    group, so that groups of one family share a pivot. A pivot need not be a member."""
+    degree = groups.groupBy("id").agg(F.sum("n").alias("degree"))
+    ranked = staged(groups.join(degree, "id").select("key", "id", "n", F.struct("degree", (-F.col("id")).alias("x"), "root").alias("own")), "ranked")
+    best = staged(ranked.groupBy("key").agg(F.max("own").alias("best"), F.max("n").alias("n")), "best")
+    large = ranked.where(F.col("n") > SMALL).select("key", "id")
+    met = large.join(best.select("key", "best"), "key").groupBy("id").agg(F.max("best").alias("met"))
+    far = large.join(met, "id").groupBy("key").agg(F.max("met").alias("best"))
+    both = best.where(F.col("n") <= SMALL).select("key", "best").unionAll(far)
+    return both.select("key", (-F.col("best.x")).alias("p"), F.col("best.root").alias("p_root"))
+
+
 def joined_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     """Labels after the links (a, b) between ids."""
     if labels is None:
@@ -308,9 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels, turn, again = None, 0, None
     groups = open_groups(staged(sketch_table(texts), "sketches"), None)
     while again is not None or not groups.isEmpty():
-        degree = groups.groupBy("id").agg(F.sum("n").alias("degree"))
-        ranked = groups.join(degree, "id").groupBy("key").agg(F.max_by(F.struct("id", "root"), F.struct("degree", -F.col("id"))).alias("p"))
-        pivots = staged(ranked.select("key", F.col("p.id").alias("p"), F.col("p.root").alias("p_root")), "pivots")
+        pivots = staged(pivots_of(groups), "pivots")
         members = groups.join(pivots, "key").where("id <> p")
         pairs = members.groupBy("p", "id").agg(
             F.bool_and(F.expr("root = p_root")).alias("same"), (F.max("n") > SMALL).alias("more"), F.min("m_min").alias("m_min")
