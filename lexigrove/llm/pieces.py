@@ -97,16 +97,28 @@ def load(path: str) -> Vocabulary:
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``text`` in the order of their first ``depth`` symbols at least, by prefix doubling."""
-    order = np.argsort(text, kind="stable")
-    rank = np.empty(len(text), np.int64)
-    sorted_ = text[order]
-    rank[order] = np.cumsum(np.r_[0, sorted_[1:] != sorted_[:-1]])
+    """Suffixes of ``text`` in the order of their first ``depth`` symbols at least, by prefix doubling.
+
+    Symbols become dense numbers, of which as many as fit into a key are sorted at first; doubling goes on from there.
+    """
+    symbols, dense = np.unique(text, return_inverse=True)
+    bits, n = max(1, int(len(symbols)).bit_length()), len(text)
     width = 1
-    while width < depth and len(text) > 1 and rank[order[-1]] < len(text) - 1:
-        second = np.zeros(len(text), np.int64)
+    while 2 * width * bits <= 62:
+        width *= 2
+    key, size = dense.astype(np.int64) + 1, 1
+    while size < width:  # the key of a place holds its next symbols, zeros after the end
+        key = key << np.int64(size * bits)
+        key[:-size] |= key[size:] >> np.int64(size * bits)
+        size *= 2
+    order = np.argsort(key, kind="stable")
+    sorted_ = key[order]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(np.r_[0, sorted_[1:] != sorted_[:-1]])
+    while width < depth and n > 1 and rank[order[-1]] < n - 1:
+        second = np.zeros(n, np.int64)
         second[:-width] = rank[width:] + 1
-        key = rank * (len(text) + 2) + second
+        key = rank * (n + 2) + second
         order = np.argsort(key, kind="stable")
         sorted_ = key[order]
         rank[order] = np.cumsum(np.r_[0, sorted_[1:] != sorted_[:-1]])
@@ -114,10 +126,38 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+class Pairs:
+    """Ranks of pairs of pieces by key: a table with one slot for most keys; keys that meet in a slot are searched for."""
+
+    BITS = 19
+
+    def __init__(self, keys: np.ndarray, ranks: np.ndarray):
+        self.slots, self.found = np.full(1 << self.BITS, -1, np.int64), np.full(1 << self.BITS, NEVER, np.int64)
+        at = self._slot(keys)
+        count = np.bincount(at, minlength=1 << self.BITS)
+        lone = count[at] == 1
+        self.slots[at[lone]], self.found[at[lone]] = keys[lone], ranks[lone]
+        self.slots[count > 1] = -2
+        self.keys, self.ranks = keys[~lone], ranks[~lone]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        slot = self.slots[at]
+        out = np.where(slot == keys, self.found[at], NEVER)
+        full = np.flatnonzero(slot == -2)
+        if len(full) and len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, keys[full]), len(self.keys) - 1)
+            out[full] = np.where(self.keys[place] == keys[full], self.ranks[place], NEVER)
+        return out
+
+
 class Matcher:
     """Encodes and decodes with a vocabulary; remembers the ids of cuts."""
 
-    MOST, BLOCK = 300_000, 1 << 19
+    MOST, BLOCK = 200_000, 1 << 18
 
     def __init__(self, vocabulary: Vocabulary):
         v = self.v = vocabulary
@@ -131,21 +171,31 @@ class Matcher:
             self.chars[row, : self.size[row]] = [ord(c) for c in v.pieces[i]]
         self.length = np.ones(v.unknown + 1, np.int64)
         self.length[self.ids] = self.size
+        # cuts with their ids, in two generations: the older one goes when the younger one is full, what is used moves up
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.pairs = Pairs(v.pair_keys, v.pair_ranks)
         self.tried: dict[tuple[int, int], bool] = {}
         self.lines = not any("\n" in p for p in v.pieces)
         inner = any(MARK in p.lstrip(MARK) for p in v.pieces)
         if inner:
             raise ValueError("a piece has a word mark after other characters")
+        # signs that no piece has right after a letter; a text in which they follow nothing else is cut before them, too
+        self.signs = [c for c in ".,;:!?" if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for p in v.pieces)]
+        self.elsewhere = re.compile(rf"[{re.escape(''.join(self.signs))}](?<![^\W\d_].)") if self.signs else None
         self.cutter = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+" if self.lines else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
     def cuts(self, text: str) -> list[str]:
         if not text:
             return []
+        lone = self.signs and not self.elsewhere.search(text)
         text = MARK + text.replace(" ", MARK)
         if self.lines and "\x01" not in text and MARK + MARK not in text:
-            parts = text.replace(MARK, "\x01" + MARK).replace("\n", "\x01\n\x01").split("\x01")
-            return [p for p in parts if p]
+            text = text.replace(MARK, "\x01" + MARK).replace("\n", "\x01\n\x01")
+            if lone:
+                for c in self.signs:
+                    text = text.replace(c, "\x01" + c)
+            return list(filter(None, text.split("\x01")))
         return self.cutter.findall(text)
 
     def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,8 +245,7 @@ class Matcher:
         a, b, limit = a[at], b[at], np.full(len(at), NEVER)
         while len(at):
             key = a * (n + 1) + b
-            place = np.minimum(np.searchsorted(v.pair_keys, key), len(v.pair_keys) - 1)
-            rank = np.where(v.pair_keys[place] == key, v.pair_ranks[place], NEVER)
+            rank = self.pairs(key)
             ra, rb = v.rank[a], v.rank[b]
             clash = rank < limit
             single = (ra < 0) & (rb < 0)
@@ -227,8 +276,6 @@ class Matcher:
             self._learn(block)
 
     def _learn(self, cuts: list[str]) -> None:
-        if len(self.known) + len(cuts) > self.MOST:
-            self.known = {}
         v = self.v
         text = np.frombuffer(("\x00".join(cuts) + "\x00").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sizes = np.array([len(c) for c in cuts], np.int64)
@@ -284,22 +331,14 @@ class Matcher:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian 32-bit integers."""
         cut = [self.cuts(t or "") for t in texts]
-        new = list(dict.fromkeys(c for cs in cut for c in cs if c not in self.known))
-        out = []
-        if new:
-            kept = self.known
-            self.learn(new)
-            if self.known is not kept:  # forgotten meanwhile: what this batch needs must be there
-                self.learn(list(dict.fromkeys(c for cs in cut for c in cs if c not in self.known)))
-        known = self.known
-        for cs in cut:
-            try:
-                out.append(b"".join([known[c] for c in cs]))
-            except KeyError:
-                self.learn([c for c in dict.fromkeys(cs) if c not in known])
-                known = self.known
-                out.append(b"".join([known[c] for c in cs]))
-        return out
+        if len(self.known) > self.MOST:
+            self.old, self.known = self.known, {}
+        need = set().union(*cut).difference(self.known)
+        for c in need.intersection(self.old):
+            self.known[c] = self.old[c]
+        self.learn(sorted(need.difference(self.old)))
+        find = self.known.__getitem__
+        return [b"".join(map(find, cs)) for cs in cut]
 
     def decode(self, ids) -> str:
         raw = self.v.bytes_of
@@ -307,6 +346,16 @@ class Matcher:
         return text.removeprefix(" ")
 
 
+_MATCHERS: list[Matcher] = []
+
+
+def matcher_of(vocabulary: Vocabulary) -> Matcher:
+    """The matcher of a broadcast vocabulary, one for each Python worker, which outlives a task."""
+    if not _MATCHERS or _MATCHERS[0].v is not vocabulary:
+        _MATCHERS[:] = [Matcher(vocabulary)]
+    return _MATCHERS[0]
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
     """``docs`` with ids: array<int>."""
     columns = [c for c in docs.columns if c != "ids"]
@@ -314,10 +363,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> D
     at = columns.index(text_col)
 
     def run(batches):
-        matcher = Matcher(sent.value)
+        matcher = matcher_of(sent.value)
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
                 found = matcher.encode(part.column(at).to_pylist())
                 offsets = pa.array(np.r_[0, np.cumsum([len(x) // 4 for x in found])].astype(np.int32))
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(found), "<i4")))
@@ -345,7 +394,21 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") ->
 
 
 def with_round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ids, and whether they decode to the text."""
-    vocabulary = load(path)
-    back = decode(encode(docs, vocabulary, text_col), vocabulary)
-    return back.withColumn("round_trip", F.coalesce(F.col(text_col), F.lit("")) == F.col("decoded"))
+    """``docs`` without the text, with ids and whether they decode to it: one pass, which sends no text back."""
+    columns = [c for c in docs.columns if c not in ("ids", "round_trip", text_col)]
+    sent = docs.sparkSession.sparkContext.broadcast(load(path))
+
+    def run(batches):
+        matcher = matcher_of(sent.value)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                texts = part.column(0).to_pylist()
+                found = matcher.encode(texts)
+                same = [matcher.decode(np.frombuffer(x, "<i4").tolist()) == (t or "") for x, t in zip(found, texts, strict=True)]
+                offsets = pa.array(np.r_[0, np.cumsum([len(x) // 4 for x in found])].astype(np.int32))
+                ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(found), "<i4")))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], ids, pa.array(same, pa.bool_())], [*columns, "ids", "round_trip"])
+
+    schema = docs.select(*columns).schema.add("ids", T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType())
+    return docs.select(text_col, *columns).mapInArrow(run, schema)
