@@ -22,7 +22,9 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,54 +41,108 @@ HEAD = struct.Struct("<8IQ")
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+token_id = attrgetter("id")
+
+
+class Known(dict):
+    """What an encoder knows, in two generations: the older one goes when the younger one is full, what is used moves up."""
+
+    MOST = 250_000
+
+    def __init__(self, make, old: dict | None = None):
+        self.make, self.old, self.younger = make, old or {}, None
+
+    def __missing__(self, key: str) -> bytes:
+        young = self
+        while young.younger is not None:
+            young = young.younger
+        ids = young.get(key)
+        if ids is None:
+            ids = young.old.get(key)
+            if ids is None:
+                ids = self.make(key)
+            if len(young) >= self.MOST:
+                young.old, young.younger = {}, Known(self.make, young)
+                young = young.younger
+            young[key] = ids
+        return ids
+
+    def youngest(self) -> Known:
+        return self if self.younger is None else self.younger.youngest()
+
+
 class Encoder:
     """Ids of a text as bytes (little-endian unsigned 32 bit), as the tokenizers library gives them.
 
     Byte-level BPE works on each piece of a text alone, so the library's model is asked once for each distinct piece. A
-    plain text (Latin letters, no control characters, no runs of three blanks) is cut before each blank and about each
-    line break, which are piece boundaries there, and cuts are looked up; other texts go to the library whole.
+    plain text (Latin letters, no control characters, no runs of three blanks) is cut before each blank, about each line
+    break, and about full stops and commas that stand alone between letters, figures or an end; these are piece boundaries
+    there. Cuts are looked up; other texts go to the library whole.
     """
 
-    MOST = 300_000
-    ODD = r"[^\t\n -~\xa1-ɏ]"
+    PLAIN = "\t\n" + "".join(map(chr, [*range(32, 127), *range(0xA1, 0x250)]))
 
-    def __init__(self, path: str):
-        import json
+    def __init__(self, path: str, plain: bool):
+        import re
 
         import regex
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.whole, self.plain = Tokenizer.from_file(path), plain
         self.whole.encode_special_tokens = True
-        spec = json.loads(self.whole.to_str())
-        pre = spec.get("pre_tokenizer") or {}
-        self.plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("truncation") and not spec["model"].get("ignore_merges")
-        self.odd, self.runs, self.pieces = regex.compile(self.ODD), regex.compile(r"\s{3}|\s\s\Z"), regex.compile(PIECES)
-        self.model, self.cuts, self.known = self.whole.model, {}, {}
+        signs = re.escape("".join(regex.findall(r"[^\s\p{L}\p{N}]", self.PLAIN)))
+        self.odd = re.compile(f"[^{re.escape(self.PLAIN)}]")
+        self.runs, self.pieces = re.compile(r"\s{3}|\s\s\Z"), regex.compile(PIECES)
+        self.crowded = re.compile(f"[.,](?:(?=[{signs}])|(?<=[{signs}\\s].))")
+        self.model, self.cuts = self.whole.model, Known(self._cut)
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in own]
         self.byte_names = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.blank = self.byte_names[32]
 
     def _piece(self, piece: str) -> bytes:
-        if (ids := self.known.get(piece)) is None:
-            if len(self.known) >= self.MOST:
-                self.known.clear()
+        if piece.isascii() and piece.isprintable():  # only the blank has another name
+            named = piece.replace(" ", self.blank)
+        else:
             named = piece.encode().decode("latin1").translate(self.byte_names)
-            ids = self.known[piece] = np.array([t.id for t in self.model.tokenize(named)], "<u4").tobytes()
-        return ids
+        return array("I", map(token_id, self.model.tokenize(named))).tobytes()
 
     def _cut(self, cut: str) -> bytes:
-        if len(self.cuts) >= self.MOST:
-            self.cuts.clear()
-        ids = self.cuts[cut] = b"".join([self._piece(p) for p in self.pieces.findall(cut)])
-        return ids
+        if (cut[1:] if cut[:1] == " " and len(cut) > 1 else cut).isalpha():
+            return self._piece(cut)
+        return b"".join(map(self._piece, self.pieces.findall(cut)))
 
     def __call__(self, text: str) -> bytes:
         gaps = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\t" in text or text[-1:].isspace()
         if not self.plain or self.odd.search(text) or (gaps and self.runs.search(text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known, cuts = self.cuts, text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
-        return b"".join([known.get(c) or self._cut(c) for c in cuts])
+        cuts = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01")
+        if not self.crowded.search(text):
+            cuts = cuts.replace(".", "\x01.\x01").replace(",", "\x01,\x01")
+        self.cuts = self.cuts.youngest()
+        return b"".join(map(self.cuts.__getitem__, cuts.split("\x01")))
+
+
+def works_on_pieces(path: str) -> bool:
+    """Whether a tokenizer file is of the kind whose pieces ``PIECES`` finds. Asked once, on the driver: the file is large."""
+    import json
+    from pathlib import Path
+
+    spec = json.loads(Path(path).read_text())
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    own = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    return bool(own and spec.get("normalizer") is None and not spec.get("truncation") and not model.get("ignore_merges"))
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str, plain: bool) -> Encoder:
+    """The encoder of a file, one for each Python worker, which outlives a task."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path, plain)
+    return _ENCODERS[path]
 
 
 def frequencies(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,14 +281,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange(F.col("id"), F.col("h")).sortWithinPartitions("id", "h").select("id", "text")
-    end = struct.pack("<I", end_id)
+    end, plain = struct.pack("<I", end_id), works_on_pieces(tokenizer)
 
     def write(batches):
         from pyspark import TaskContext
 
         files, root = open_shared(folder)
         files.create_dir(root, recursive=True)
-        encode, part, seq, waiting, size = Encoder(tokenizer), TaskContext.get().partitionId(), 0, [], 0
+        encode, part, seq, waiting, size = encoder(tokenizer, plain), TaskContext.get().partitionId(), 0, [], 0
 
         def shard():
             path = f"{root}/{part:06d}-{seq:04d}-{uuid.uuid4().hex}.lxr"
