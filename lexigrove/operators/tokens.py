@@ -110,8 +110,14 @@ def _sentence(tokens: Column, span: Column, index: Column) -> Column:
 
 def exploded(df: DataFrame, *keys: str) -> DataFrame:
     """A row for each token: ``keys`` and the token's fields. A projection, no shuffle."""
-    return df.select(*keys, F.explode("tokens").alias("t")).select(*keys, "t.*")
+    return elements(df, "tokens", *keys).select(*keys, "x.*")
+
+
+def elements(df: DataFrame, column: str | Column, *keys: str) -> DataFrame:
+    """(keys, x): a row for each element. The filter stands above the generator: a plain explode has one on the array, which
+    the optimizer would push below the annotators, to run them once more."""
+    return df.select(*keys, F.explode_outer(column).alias("x")).where("x IS NOT NULL")
 
 
 def exploded_sentences(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, F.explode("sents").alias("s")).select(*keys, "s.*")
+    return elements(df, "sents", *keys).select(*keys, "x.*")

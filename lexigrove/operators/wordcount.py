@@ -16,6 +16,7 @@ from lexigrove.functions.strings import feature_name
 from lexigrove.functions.tags import GO_TAGS
 from lexigrove.operators.access import go_word_forms, word_form
 from lexigrove.operators.features import numeric
+from lexigrove.operators.tokens import elements
 
 #: A table of distributions of more rows than this is joined by shuffling instead of being broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -32,7 +33,8 @@ class WordCountConfig:
 
 def words_by_label(df: DataFrame, label: Column, config: WordCountConfig = WordCountConfig()) -> DataFrame:
     """(label, word, n): go words of labelled rows; rows without a label are left out."""
-    rows = df.select(label.cast("string").alias("label"), F.explode(go_word_forms(F.col("tokens"), config.form, config.tags)).alias("word"))
+    labelled = df.withColumn("label", label.cast("string"))
+    rows = elements(labelled, go_word_forms(F.col("tokens"), config.form, config.tags), "label").withColumnRenamed("x", "word")
     return rows.where(F.col("label").isNotNull()).groupBy("label", "word").agg(F.count("*").alias("n"))
 
 
@@ -58,7 +60,7 @@ def label_scores(df: DataFrame, keys: list[str], stats: DataFrame, config: WordC
     """
     by_word = stats.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("label", "ratio"))).alias("ratios"))
     labels = [r[0] for r in stats.select("label").distinct().orderBy("label").collect()]  # labels are few: one for each class
-    tokens = df.select(*keys, F.explode("tokens").alias("t")).select(*keys, config.form(F.col("t")).alias("word"))
+    tokens = elements(df, "tokens", *keys).select(*keys, config.form(F.col("x")).alias("word"))
     by_word = F.broadcast(by_word) if stats.count() <= BROADCAST_ROWS else by_word
     joined = tokens.join(by_word, "word", "left")
     sums = [F.sum(F.coalesce(F.try_element_at("ratios", F.lit(x)), F.lit(0.0))).alias(f"s_{i}") for i, x in enumerate(labels)]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.functions import tags as tg
-from lexigrove.functions.arrays import at, count_if, first, let
+from lexigrove.functions.arrays import at, count_if, let, settled
 from lexigrove.functions.ranges import in_range, overlaps, range_of
 from lexigrove.operators import access, entities, features, morphology, patterns, roles, sentiment, syntax, tokens, wordcount
 from lexigrove.plans import oracles as o
@@ -46,6 +46,11 @@ def annotated(spark: SparkSession, sf_dir: str, name: str, *steps: str, more: tu
     return df
 
 
+def nonempty(df: DataFrame) -> DataFrame:
+    """Rows with tokens."""
+    return df.withColumn("n_tokens_", settled(F.size("tokens"))).where("n_tokens_ > 0").drop("n_tokens_")
+
+
 def query(name: str, oracle: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -106,7 +111,7 @@ def token_offsets(spark, sf_dir):
       substr(any_value(src.text), min(b) + 1, max(e) - min(b)) AS text FROM sen JOIN src USING (doc_id) GROUP BY conv_id, turn, s""",
 )
 def sentence_split(spark, sf_dir):
-    df = annotated(spark, sf_dir, "conversations", "sen").select("conv_id", "turn", "text", F.explode("sents").alias("s"))
+    df = tokens.elements(annotated(spark, sf_dir, "conversations", "sen"), "sents", "conv_id", "turn", "text").withColumnRenamed("x", "s")
     cut = F.substring("text", F.col("s.char_range.begin") + 1, F.col("s.char_range.end") - F.col("s.char_range.begin"))
     return df.select("conv_id", "turn", "s.sent_index", F.col("s.token_range.begin").alias("tok_begin"), F.col("s.token_range.end").alias("tok_end"), cut.alias("text"))
 
@@ -120,7 +125,7 @@ def sentence_split(spark, sf_dir):
 def sentence_lengths(spark, sf_dir):
     df = annotated(spark, sf_dir, "documents", "sen")
     sizes = F.transform("sents", lambda s: long_(s["token_range"]["end"] - s["token_range"]["begin"]))
-    out = df.select("doc_id", sizes.alias("sizes")).where(F.size("sizes") > 0)
+    out = df.select("doc_id", settled(sizes).alias("sizes")).where(F.size("sizes") > 0)
     return out.select("doc_id", long_(F.size("sizes")).alias("n_sents"), F.array_min("sizes").alias("shortest"), F.array_max("sizes").alias("longest"))
 
 
@@ -143,7 +148,7 @@ def token_nth(spark, sf_dir):
 )
 def sent_nth(spark, sf_dir):
     second = access.sent(F.col("sents"), 1)["token_range"]
-    out = annotated(spark, sf_dir, "documents", "sen").select("doc_id", second.alias("r")).where("r IS NOT NULL")
+    out = annotated(spark, sf_dir, "documents", "sen").select("doc_id", settled(second).alias("r")).where("r IS NOT NULL")
     return out.select("doc_id", F.col("r.begin").alias("tok_begin"), F.col("r.end").alias("tok_end"))
 
 
@@ -154,7 +159,7 @@ def sent_nth(spark, sf_dir):
 )
 def tokens_by_sentence(spark, sf_dir):
     part = access.tokens_by_sentence(F.col("tokens"), F.col("sents"), 1, F.lit(1), F.lit(4))
-    out = annotated(spark, sf_dir, "documents", "sen").select("doc_id", F.transform(part, lambda t: t["text"]).alias("w"))
+    out = annotated(spark, sf_dir, "documents", "sen").select("doc_id", settled(F.transform(part, lambda t: t["text"])).alias("w"))
     return out.where(F.size("w") > 0).select("doc_id", F.array_join("w", " ").alias("words"))
 
 
@@ -173,7 +178,7 @@ def page_text_tokens(spark, sf_dir):
     chain("documents", "tagged") + " SELECT doc_id, count(*)::BIGINT AS n_tokens, md5(string_agg(tag, ' ' ORDER BY i)) AS digest FROM tagged GROUP BY doc_id",
 )
 def pos_tag(spark, sf_dir):
-    df = annotated(spark, sf_dir, "documents", "sen", "tag").where(F.size("tokens") > 0)
+    df = nonempty(annotated(spark, sf_dir, "documents", "sen", "tag"))
     return df.select("doc_id", long_(F.size("tokens")).alias("n_tokens"), digest(field("pos_tag")).alias("digest"))
 
 
@@ -192,7 +197,7 @@ def pos_tag_type(spark, sf_dir):
 def _pos_sql(table_name: str) -> str:
     cells = []
     for kind in tg.TAG_TYPES:
-        count = f"count_if({o.tag_type('tag')} = '{kind}')"
+        count = f"count(*) FILTER ({o.tag_type('tag')} = '{kind}')"
         cells.append(f"{count}::BIGINT AS pos_tag_count_{kind}")
         cells.append(f"coalesce({count}::DOUBLE / nullif(count(i), 0), 0.0::DOUBLE) AS pos_tag_ratio_{kind}")
     return (
@@ -210,7 +215,7 @@ def pos_features(spark, sf_dir):
 
 @query("lemma", chain("documents", "ann") + " SELECT doc_id, count(*)::BIGINT AS n_tokens, md5(string_agg(lemma, ' ' ORDER BY i)) AS digest FROM ann GROUP BY doc_id")
 def lemma(spark, sf_dir):
-    df = annotated(spark, sf_dir, "documents", "sen", "tag", "lemma").where(F.size("tokens") > 0)
+    df = nonempty(annotated(spark, sf_dir, "documents", "sen", "tag", "lemma"))
     return df.select("doc_id", long_(F.size("tokens")).alias("n_tokens"), digest(field("lemma")).alias("digest"))
 
 
@@ -398,7 +403,7 @@ def ner_regex(spark, sf_dir):
 
 
 def _mentions(df: DataFrame, *keys: str, column: str = "mentions") -> DataFrame:
-    return df.select(*keys, F.explode(column).alias("m")).select(*keys, "m.*")
+    return tokens.elements(df, column, *keys).select(*keys, "x.*")
 
 
 @query(
@@ -442,7 +447,7 @@ def mention_for_token(spark, sf_dir):
 )
 def tokens_for_mention(spark, sf_dir):
     df = annotated(spark, sf_dir, "documents", "sen", "tag", "ner")
-    both = df.select("doc_id", F.explode(access.token_mentions(F.col("tokens"), F.col("mentions"))).alias("m"))
+    both = tokens.elements(df, access.token_mentions(F.col("tokens"), F.col("mentions")), "doc_id").withColumnRenamed("x", "m")
     words = F.array_join(F.transform("m.tokens", lambda t: t["text"]), " ")
     return both.select("doc_id", F.col("m.token_range.begin").alias("tok_begin"), "m.entity_type", words.alias("words"))
 
@@ -455,7 +460,7 @@ def tokens_for_mention(spark, sf_dir):
 )
 def token_mentions(spark, sf_dir):
     df = annotated(spark, sf_dir, "documents", "sen", "tag", "ner")
-    both = df.select("doc_id", access.token_mentions(F.col("tokens"), F.col("mentions")).alias("m")).where(F.size("m") > 0)
+    both = df.select("doc_id", settled(access.token_mentions(F.col("tokens"), F.col("mentions"))).alias("m")).where(F.size("m") > 0)
     covered = F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + F.size(x["tokens"]))
     return both.select("doc_id", long_(F.size("m")).alias("n_mentions"), covered.alias("n_covered"))
 
@@ -584,7 +589,7 @@ def _all_mentions(spark, sf_dir) -> DataFrame:
     df = _matched(spark, sf_dir, "documents", LITERAL_ITEMS, "tag", "lemma", "ner")
     light = lambda kind: lambda m: F.struct(F.lit(kind).alias("kind"), m["entity_type"].alias("entity_type"), m["token_range"].alias("token_range"))
     both = access.mentions(F.transform("mentions", light("ner")), F.transform("tok_re_mentions", light("tok_re")))
-    return df.select("doc_id", F.posexplode(both).alias("mention_id", "m")).select("doc_id", "mention_id", "m.*")
+    return df.select("doc_id", F.posexplode_outer(both).alias("mention_id", "m")).where("m IS NOT NULL").select("doc_id", "mention_id", "m.*")
 
 
 @query(
@@ -634,7 +639,7 @@ pairs AS (SELECT a.doc_id, a.s, a.tb AS ab, a.te AS ae, b.tb AS bb, b.te AS be F
 def _neighbours(spark, sf_dir) -> DataFrame:
     df = annotated(spark, sf_dir, "documents", "sen")
     both = let(F.col("sents"), lambda ss: F.transform(ss, lambda s, i: F.struct(s.alias("a"), at(ss, i + 1).alias("b"))))
-    rows = df.select("doc_id", F.explode(both).alias("p")).where("p.b IS NOT NULL")
+    rows = tokens.elements(df, both, "doc_id").withColumnRenamed("x", "p").where("p.b IS NOT NULL")
     return rows.select("doc_id", F.col("p.a.sent_index").alias("s"), F.col("p.a.token_range").alias("a"), F.col("p.b.token_range").alias("b"))
 
 
@@ -744,7 +749,7 @@ def dictionary_ratio(spark, sf_dir):
 
 def _edges(spark, sf_dir) -> DataFrame:
     df = annotated(spark, sf_dir, "conversations", "sen", "tag", "dep")
-    return df.select("conv_id", "turn", F.explode("dependency_edges").alias("e")).select("conv_id", "turn", "e.*")
+    return tokens.elements(df, "dependency_edges", "conv_id", "turn").select("conv_id", "turn", "x.*")
 
 
 @query("dep_edges")
@@ -777,19 +782,19 @@ def _nodes(spark, sf_dir) -> DataFrame:
 
 @query("parse_tree_nodes")
 def parse_tree_nodes(spark, sf_dir):
-    rows = _nodes(spark, sf_dir).select("conv_id", "turn", F.explode("parse_nodes").alias("n")).select("conv_id", "turn", "n.*")
+    rows = tokens.elements(_nodes(spark, sf_dir), "parse_nodes", "conv_id", "turn").select("conv_id", "turn", "x.*")
     return rows.select("conv_id", "turn", "sent_index", "node_id", "parent_id", "child_ord", "label", "token_index", F.col("index_range.begin").alias("b"), F.col("index_range.end").alias("e"))
 
 
 @query("parse_tree_shift_reduce")
 def parse_tree_shift_reduce(spark, sf_dir):
     df = syntax.add_parse_trees(annotated(spark, sf_dir, "conversations", "sen", "tag"), use_shift_reduce=True, include_score=True)
-    return df.select("conv_id", "turn", F.explode("parse_nodes").alias("n")).groupBy("n.label").agg(F.count("*").alias("n"), F.sum("n.score").alias("score"))
+    return tokens.elements(df, "parse_nodes", "conv_id", "turn").withColumnRenamed("x", "n").groupBy("n.label").agg(F.count("*").alias("n"), F.sum("n.score").alias("score"))
 
 
 @query("parse_tree_leaves", chain("conversations", "tagged") + " SELECT conv_id, turn, count(*)::BIGINT AS n_leaves, (max(s) + 1)::BIGINT AS n_roots FROM tagged JOIN src USING (doc_id) GROUP BY conv_id, turn")
 def parse_tree_leaves(spark, sf_dir):
-    df = _nodes(spark, sf_dir).where(F.size("parse_nodes") > 0)
+    df = nonempty(_nodes(spark, sf_dir))
     leaves, roots = count_if(F.col("parse_nodes"), lambda x: x["token_index"].isNotNull()), count_if(F.col("parse_nodes"), lambda x: x["parent_id"] < 0)
     return df.select("conv_id", "turn", long_(leaves).alias("n_leaves"), long_(roots).alias("n_roots"))
 
@@ -806,7 +811,7 @@ _DOWN = o.listed([*syntax.DOWNWARD, "not", "n't", "n’t", "never", "without"])
     SELECT conv_id, turn, count_if(is_down)::BIGINT AS n_down, count_if(quant)::BIGINT AS n_quantifiers FROM q JOIN src USING (doc_id) GROUP BY conv_id, turn""",
 )
 def natlog_polarity(spark, sf_dir):
-    df = annotated(spark, sf_dir, "conversations", "sen", "tag", "natlog").where(F.size("tokens") > 0)
+    df = nonempty(annotated(spark, sf_dir, "conversations", "sen", "tag", "natlog"))
     down, quantifiers = count_if(F.col("tokens"), lambda t: t["natlog"]["polarity"] == "down"), count_if(F.col("tokens"), lambda t: t["natlog"]["operator"].isNotNull())
     return df.select("conv_id", "turn", long_(down).alias("n_down"), long_(quantifiers).alias("n_quantifiers"))
 
@@ -830,12 +835,12 @@ def srl_features(spark, sf_dir):
 def srl_propbank(spark, sf_dir):
     df = _roles(spark, sf_dir)
     out = df.select("conv_id", "turn", access.first_propbank_label(F.col("tokens")).alias("first_propbank"), features.srl_features(F.col("tokens"))["srl_propbank_id"].alias("propbank_id"))
-    return out.where("first_propbank IS NOT NULL")
+    return out.withColumn("first_propbank", settled(F.col("first_propbank"))).where("first_propbank IS NOT NULL")
 
 
 @query("srl_zip", chain("conversations", "tok") + " SELECT conv_id, turn, count(*)::BIGINT AS n FROM tok JOIN src USING (doc_id) GROUP BY conv_id, turn")
 def srl_zip(spark, sf_dir):
-    df = _roles(spark, sf_dir).where(F.size("tokens") > 0)
+    df = nonempty(_roles(spark, sf_dir))
     return df.select("conv_id", "turn", long_(count_if(F.col("tokens"), lambda t: t["srl"]["id"] == t["token_index"])).alias("n"))
 
 
@@ -865,7 +870,7 @@ def tree_features(spark, sf_dir):
 def coref_chains(spark, sf_dir):
     df = annotated(spark, sf_dir, "conversations", "sen", "tag", "ner", "coref")
     flat = F.flatten(F.transform("coref", lambda c: F.transform(c["mention"], lambda m: m.withField("id", c["id"]))))
-    rows = df.select("conv_id", "turn", F.explode(flat).alias("m"))
+    rows = tokens.elements(df, flat, "conv_id", "turn").withColumnRenamed("x", "m")
     return rows.select("conv_id", "turn", F.col("m.id").alias("chain_id"), "m.sent_index", F.col("m.token_range.begin").alias("tok_begin"), F.col("m.token_range.end").alias("tok_end"), "m.gender", "m.type", "m.number")
 
 
@@ -893,7 +898,8 @@ def only_tokenize_pipeline(spark, sf_dir):
     context = registry.create_context(only_tokenize=True)
     records = to_record(registry.annotate(table(spark, sf_dir, "conversations", "conv_id", "turn", "text"), context=context), "conv_id", "turn")
     n = F.aggregate("panon.sents", F.lit(0).cast("long"), lambda a, s: a + F.size(s["tokens"]))
-    return records.where("panon.sents IS NOT NULL").select("conv_id", "turn", n.alias("n_tokens"), long_(F.size("panon.sents")).alias("n_sents"))
+    out = records.select("conv_id", "turn", n.alias("n_tokens"), settled(long_(F.size("panon.sents"))).alias("n_sents"))
+    return out.where("n_sents > 0")
 
 
 DSL_CONFIG = 'tokenize("en"),sentence,part-of-speech("english"),rules/morphology,stopword,sentiment(false)'
@@ -967,5 +973,3 @@ def streaming_word_counts(spark, sf_dir):
 
     return counted_to_end(spark, f"{sf_dir}/conversations.parquet", "role")
 
-
-del first

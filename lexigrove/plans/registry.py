@@ -11,7 +11,9 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexigrove.functions.arrays import settled
 from lexigrove.plans import components as c
 from lexigrove.plans.components import Component
 
@@ -167,15 +169,18 @@ def distinct_parsers(config: list) -> list[str]:
 
 
 def annotate(df: DataFrame, text_col: str = "text", context: Context | None = None) -> DataFrame:
-    """``df`` with the columns of the context's pipeline: a lazy plan, components in the listed order."""
-    context = context or current_context()
+    """``df`` with the columns of the context's pipeline: a lazy plan, components in the listed order.
+
+    Filters on annotations run on what the plan gives, not once more on the texts; filter on the table's own columns before.
+    """
+    context, own = context or current_context(), df.columns
     known = set(distinct_parsers(context.config))
     for x in context.config:
         if callable(x):
             df = x(df)
         elif x.parser in known:
             df = _LIBRARIES[x.parser].run(df, x, text_col)
-    return df
+    return df.withColumns({name: settled(F.col(name)) for name in df.columns if name not in own})
 
 
 class ParseTimeoutError(TimeoutError):

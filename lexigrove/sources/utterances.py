@@ -20,10 +20,17 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("text", F.rtrim(F.regexp_replace("text", r"\r?\n", " ")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores at least: annotating costs far more than dealing out the texts of a
+    file that is read as one. Larger inputs have more partitions than that and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A Parquet table of a folder; only ``columns`` are read if given."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    return spread(df.select(*columns) if columns else df)
 
 
 def write_annotations(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

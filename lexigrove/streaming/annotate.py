@@ -44,8 +44,8 @@ def running_counts(stream: DataFrame, label: Column, config: WordCountConfig = W
 
 def windowed_counts(stream: DataFrame, time: str, label: Column, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
     """(window, label, word, n) by event time; rows later than the watermark are not counted."""
-    words = F.explode(F.transform("tokens", lambda t: F.lower(t["text"])))
-    rows = stream.withWatermark(time, late).select(time, label.alias("label"), words.alias("word"))
+    timed = stream.withWatermark(time, late).withColumn("label", label)
+    rows = tokens.elements(timed, "tokens", time, "label").select(time, "label", F.lower("x.text").alias("word"))
     return rows.groupBy(F.window(time, width), "label", "word").agg(F.count("*").alias("n"))
 
 
