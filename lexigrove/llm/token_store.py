@@ -147,6 +147,7 @@ def encoder(path: str, plain: bool) -> Encoder:
 
 def frequencies(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, frequencies): of the symbols that occur, at least 1 each, in all 2 ** SCALE, none the whole of it."""
+    counts = np.r_[counts, np.zeros(max(0, 2 - len(counts)), np.int64)]
     symbols = np.flatnonzero(counts)
     if len(symbols) < 2:
         symbols = np.unique(np.r_[symbols, 0, 1])
