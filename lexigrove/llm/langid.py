@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrove.llm.common import give_back
+
 HIDDEN, WINDOW, STEPS, BATCH, RATE = 8, 64, 240, 192, 0.02
 SAMPLE, PIECE, LANGUAGES = 300, 2000, 64
 UNKNOWN = "und"
@@ -253,6 +255,7 @@ def identify(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame
                     best, score = np.zeros(len(letter), int), np.zeros(len(letter))
                 made = [pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], *made], [*columns, "lang_pred", "score"])
+        give_back()
 
     return kept.mapInArrow(predict, schema)
 

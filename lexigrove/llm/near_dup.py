@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import staged
+from lexigrove.llm.common import give_back, staged
 
 WORDS, SIMILARITY = 5, 0.8
 #: (least and most symbols, sketches, symbols in a sketch)
@@ -67,7 +67,7 @@ _ODD = _mixed(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
 class Symbols:
     """Occurrence-labelled shingles of texts; word hashes are remembered."""
 
-    MOST = 300_000
+    MOST = 120_000
 
     def __init__(self):
         self.known: dict[str, int] = {}
@@ -182,6 +182,8 @@ def sketch_table(docs: DataFrame) -> DataFrame:
                 counts = [len(k) for k in keys]
                 rows, sizes = pa.array(np.repeat(np.arange(len(keys)), counts)), np.repeat([len(x) for x in found], counts).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), part.column(0).take(rows), pa.array(sizes)], ["key", "id", "m"])
+        del symbols
+        give_back()
 
     return docs.mapInArrow(make, "key long, id long, m int")
 
@@ -221,6 +223,9 @@ def compared(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*rest, np.empty(0, np.int64)])))
                 made = [pa.array(linked, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(common, pa.int32()), lists]
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], *made], [*kept, "linked", "m", "common", "rest"])
+        last.clear()
+        symbols.known.clear()
+        give_back()
 
     schema = "p long, id long, more boolean, m_min int, linked boolean, m int, common int, rest array<long>"
     return rows.select(*kept, "same", "tp", "text").mapInArrow(check, schema)

@@ -16,10 +16,12 @@ import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lexigrove.llm.common import give_back, staged
 
 MIN_WORDS = 5
 
@@ -81,6 +83,7 @@ def units(docs: DataFrame, id_col: str, min_words: int) -> DataFrame:
                     ],
                     ["h1", "h2", "u_id", "u_text", "u_begin", "u_end"],
                 )
+        give_back()
 
     return docs.mapInArrow(cut, f"h1 long, h2 long, u_id {kind}, u_text long, u_begin int, u_end int")
 
@@ -95,26 +98,32 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = found.groupBy("h1", "h2").agg(
         F.min(F.struct("u_id", "u_text", "u_begin")).alias("u_first"), F.count("*").alias("u_n")
     )
-    first = first.where("u_n > 1").drop("u_n")
+    first = staged(first.where("u_n > 1").drop("u_n"), "repeated-units")  # a table of its own: the join can split a hot digest
     later = found.join(first, ["h1", "h2"]).where(~F.struct("u_id", "u_text", "u_begin").eqNullSafe(F.col("u_first")))
     spans = later.groupBy("u_id", "u_text").agg(
         F.collect_list("u_begin").alias("u_begins"), F.collect_list("u_end").alias("u_ends")
     )
     both = keyed.join(spans, keyed[id_col].eqNullSafe(spans["u_id"]) & (keyed["u_key"] == spans["u_text"]), "left")
 
-    @F.pandas_udf("text string, removed array<struct<begin:int,end:int>>")
-    def cut_out(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.DataFrame:
-        out, cuts = [], []
-        for text, b, e in zip(texts, begins, ends, strict=True):
-            if b is None or text is None:
-                out.append(text)
-                cuts.append([])
-            else:
-                kept, cut = spliced(text, list(zip(map(int, b), map(int, e), strict=True)))
-                out.append(kept)
-                cuts.append([{"begin": x, "end": y} for x, y in cut])
-        return pd.DataFrame({"text": out, "removed": cuts})
-
-    both = both.withColumn("u_out", cut_out(F.col(text_col), F.col("u_begins"), F.col("u_ends")))
-    columns = [F.col("u_out.text").alias(c) if c == text_col else keyed[c] for c in docs.columns if c != "removed"]
-    return both.select(*columns, F.col("u_out.removed").alias("removed"))
+    columns = [c for c in docs.columns if c != "removed"]
+    at = columns.index(text_col)
+    span = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    schema = docs.select(*columns).schema.add("removed", T.ArrayType(span))
+    spans_of = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+
+    def cut_out(batches):
+        for batch in batches:
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                out, cuts = [], []
+                for text, b, e in zip(part.column(at), part.column(len(columns)).to_pylist(), part.column(len(columns) + 1).to_pylist(), strict=True):
+                    kept, cut = text.as_py(), []
+                    if b is not None and kept is not None:
+                        kept, cut = spliced(kept, list(zip(b, e, strict=True)))
+                    out.append(kept)
+                    cuts.append([{"begin": x, "end": y} for x, y in cut])
+                made = [*part.columns[: len(columns)], pa.array(cuts, spans_of)]
+                made[at] = pa.array(out, part.column(at).type)
+                yield pa.RecordBatch.from_arrays(made, [*columns, "removed"])
+        give_back()
+
+    return both.select(*[keyed[c] for c in columns], "u_begins", "u_ends").mapInArrow(cut_out, schema)
