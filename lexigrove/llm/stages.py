@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrove.llm import langid, mixing, near_dup, pieces, unit_dedup
@@ -34,12 +34,20 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: complete epochs, and once more if at least half of it is selected."""
-    sized = docs.withColumn("m_words", mixing.word_count(F.col("text")))
-    sized = mixing.with_quality(sized, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Each document as often as the mix takes it: complete epochs, and once more if at least half of it is selected.
+
+    The mix is made of ids, sources and sizes; texts are shuffled once, to meet their numbers of copies. Equal rows are
+    told apart by nothing, so one of them stands for the copies of all.
+    """
+    keyed = docs.withColumns({"m_row": F.xxhash64(*docs.columns), "m_id": F.coalesce("doc_id", F.lit(0))})
+    light = keyed.select("doc_id", "source", "m_row", "m_id", mixing.word_count(F.col("text")).alias("m_words"))
+    sized = mixing.with_quality(light, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     mixed = mixing.mix_sources(sized, quality=F.col("m_quality"), size=F.col("m_words"))
     copies = F.floor(F.coalesce(F.try_divide("taken", "size"), F.lit(0.0)) + 0.5).cast("int")
-    return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(True), copies)).alias("m_copy")).drop("m_copy")
+    taken = staged(mixed.groupBy("m_id", "m_row").agg(F.sum(copies).cast("int").alias("m_copies")).where("m_copies > 0"), "mixed")
+    one = F.row_number().over(Window.partitionBy("m_id", "m_row").orderBy("m_row"))
+    found = keyed.join(taken, ["m_id", "m_row"]).withColumn("m_one", one).where("m_one = 1")
+    return found.select(*docs.columns, F.explode(F.array_repeat(F.lit(True), F.col("m_copies"))).alias("m_copy")).drop("m_copy")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str | None = None) -> DataFrame:
