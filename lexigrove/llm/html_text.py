@@ -4,11 +4,14 @@ A page is read in one pass into text leaves, each with its path from the root (t
 path, text length outside links, punctuation, leaves and link text are summed over the page. A path's ratio is its text
 per leaf, raised by its punctuation per leaf; ratios are smoothed along the leaves in page order, and fused with the ratio
 of the path of the enclosing element, so that a short heading shares the standing of the section it opens. Leaves whose
-fused ratio reaches ``THRESHOLD`` of the mean over all text are content.
+fused ratio reaches ``THRESHOLD`` of the mean over all text are content, and are not in a list of links.
 
 Before that, elements that are never main text go: by their tag (scripts, styles, menus, footers, forms), or by a word in
 their class, id or role (adverts, notices, sidebars, reader comments), unless they enclose the article or most of the
-page's prose. If there is an article or main element, content is looked for inside it, where only paths of links go.
+page's prose. Article and main elements narrow the page down only if together they hold ``ROOT_SHARE`` of its prose (text
+with punctuation, outside links and elements with such a word); the ratios then decide inside them, where the mean counts
+as ``PROSE`` at most, so that one very long leaf does not put out plain paragraphs. Otherwise the ratios decide over the
+whole page.
 
 Defined results: null or empty html gives an empty text; unclosed tags, comments and quotes end with the page; markup in
 upper case is read alike; a line break element counts as white space; repeated rows give equal texts; a null page id or
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 THRESHOLD = 0.25
+ROOT_SHARE = 0.5
+PROSE = 160  # the ratio of leaves of 80 characters and one mark
 TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(>|\Z)", re.DOTALL
 )
@@ -208,16 +213,31 @@ def _in_main(page: Page, i: int) -> bool:
 
 
 def _roots(page: Page, gone: list[bool]) -> list[int]:
-    """For each element, the outermost article or main element around it that holds enough of the text, or 0."""
-    top, size = [0] * len(page.elements), {}
+    """For each element, the outermost article or main element around it that holds enough of the text, or 0.
+
+    Empty if those elements hold less than ``ROOT_SHARE`` of the page's prose (of its text outside links, if it has none);
+    what stands beside them in an element with a boilerplate word is not counted.
+    """
+    top, size, doubted = [0] * len(page.elements), {}, [False] * len(page.elements)
     for i, x in enumerate(page.elements[1:], 1):
         top[i] = top[x.parent] or (i if x.main and not gone[i] else 0)
+        doubted[i] = not top[i] and (doubted[x.parent] or (x.hinted and not x.holds_main))
     for e, _, text in page.leaves:
         if top[e] and not gone[e]:
             size[top[e]] = size.get(top[e], 0) + len(text.strip())
     least = 0.25 * max(size.values(), default=0)
     kept = {k for k, n in size.items() if n >= least and n > 0}
-    return [t if t in kept else 0 for t in top] if kept else []
+    prose, plain = [0, 0], [0, 0]  # of the page, of the roots
+    for e, _, text in page.leaves:
+        if not gone[e] and not doubted[e] and not page.elements[e].links:
+            n, inside = len(text.strip()), top[e] in kept
+            marked = n * bool(PUNCTUATION.search(text))
+            prose[0] += marked
+            plain[0] += n
+            prose[1] += marked * inside
+            plain[1] += n * inside
+    whole, held = prose if prose[0] else plain
+    return [t if t in kept else 0 for t in top] if kept and held >= ROOT_SHARE * whole else []
 
 
 def content(page: Page) -> list[tuple[int, str]]:
@@ -248,6 +268,7 @@ def content(page: Page) -> list[tuple[int, str]]:
         by_path.setdefault(page.elements[e].path, []).append(s)
     sizes = [len(t.strip()) for _, _, t in leaves]
     mean = sum(a * b for a, b in zip(own, sizes, strict=True)) / max(1, sum(sizes))
+    least = THRESHOLD * (min(mean, PROSE) if roots else mean)
     chosen = {}
     for p, values in by_path.items():
         above = page.parents[p]
@@ -257,7 +278,7 @@ def content(page: Page) -> list[tuple[int, str]]:
             if length[outer] == 0 and page.parents[outer] > 0:
                 outer = page.parents[outer]
         listing = linked[outer] > 2 * length[outer] and linked[outer] > 0
-        chosen[p] = not listing and (bool(roots) or fused >= THRESHOLD * mean)
+        chosen[p] = not listing and fused >= least
     return [(b, t) for e, b, t in leaves if chosen[page.elements[e].path]]
 
 

@@ -277,6 +277,23 @@ def test_main_text_of_odd_pages(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+STORY = "".join(f"<p>Paragraph {i} of the story, which is long enough, has commas, and goes on for a while.</p>" for i in range(6))
+
+
+def test_main_text_ratios_decide_inside_an_article():
+    tags = "".join(f"<div><span>Tag{i}</span></div>" for i in range(12))
+    got = html_text.main_text(f"<body><article><h1>Title</h1>{STORY}{tags}</article></body>")
+    assert got.count("of the story") == 6 and got.startswith("Title") and "Tag6" not in got
+    long = "A sentence, with marks, and words. " * 400
+    assert html_text.main_text(f"<article><p><b>{long}</b></p>{STORY}</article>").count("of the story") == 6
+
+
+def test_main_text_short_article_beside_the_story():
+    teaser = '<article class="teaser"><p>Read our other piece, too.</p></article>'
+    got = html_text.main_text(f"<body><div>{STORY}</div>{teaser}</body>")
+    assert got.count("of the story") == 6
+
+
 # 9. Near-duplicates
 
 
