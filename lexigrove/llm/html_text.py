@@ -8,7 +8,9 @@ fused ratio reaches ``THRESHOLD`` of the mean over all text are content, and are
 
 Before that, elements that are never main text go: by their tag (scripts, styles, menus, footers, forms), or by a word in
 their class, id or role (adverts, notices, sidebars, reader comments), unless they enclose the article or most of the
-page's prose. Article and main elements narrow the page down only if together they hold ``ROOT_SHARE`` of its prose (text
+page's prose. Inside an article or main element a word in class or id is a hint only: the element goes if it also holds
+more link text than other text, or if its text per leaf, raised by its punctuation, is under ``THRESHOLD`` of that of the
+article; ``header`` is no hint there. Article and main elements narrow the page down only if together they hold ``ROOT_SHARE`` of its prose (text
 with punctuation, outside links and elements with such a word); the ratios then decide inside them, where the mean counts
 as ``PROSE`` at most, so that one very long leaf does not put out plain paragraphs. Otherwise the ratios decide over the
 whole page.
@@ -65,6 +67,7 @@ WORDS = re.compile(
     r"recommendations|popular|trending|comments?|commentlist|comment\w*|replies|reply|respond|disqus|discussion|toolbar|skip|paywall|tracking)"
     r"(?=$|[-_\s\d])"
 )
+HEADER = re.compile(r"(?:^|(?<=[-_\s]))header(?=$|[-_\s\d])")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
@@ -76,6 +79,8 @@ class Element:
     path: int
     noise: bool = False
     hinted: bool = False
+    weak: bool = False  # hinted inside a main element, by words alone
+    within: bool = False  # a main element
     main: bool = False
     holds_main: bool = False
     links: bool = False
@@ -156,7 +161,11 @@ def read(page: str) -> Page:
         names = " ".join(CAMEL.sub("-", attributes[k]) for k in ("class", "id") if k in attributes).lower()
         role = attributes.get("role", "").lower()
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-        element = Element(tag, stack[-1], path, tag in NOISE or hidden, role in ROLES or bool(names and WORDS.search(names)))
+        within = parent.main or parent.within
+        if within:
+            names = HEADER.sub("", names)
+        word = bool(names and WORDS.search(names))
+        element = Element(tag, stack[-1], path, tag in NOISE or hidden, role in ROLES or word, word and within and role not in ROLES, within)
         element.main = (tag in ("article", "main") or role in ("main", "article")) and not element.hinted
         element.links = parent.links or tag == "a"
         if tag == "header" and not any(out.elements[e].main for e in stack):
@@ -197,13 +206,36 @@ def _gone(page: Page) -> list[bool]:
         page.elements[i].prose += 0 if shut[i] else weights[i]
         page.elements[page.elements[i].parent].prose += page.elements[i].prose
     everything = page.elements[0].prose + weights[0]
+    marked = _boilerplate(page, shut) if any(x.weak for x in page.elements) else ()
     gone = [False] * len(page.elements)
     for i, x in enumerate(page.elements[1:], 1):
-        spared = x.tag in ("html", "body") or x.holds_main or (x.prose > 0.6 * everything and not _in_main(page, i))
+        spared = x.tag in ("html", "body") or x.holds_main or (x.prose > 0.6 * everything and not _in_main(page, i)) or (x.weak and i not in marked)
         gone[i] = gone[x.parent] or (x.noise and not x.holds_main) or (x.hinted and not spared)
     return gone
 
 
+def _boilerplate(page: Page, shut: list[bool]) -> set[int]:
+    """Weakly hinted elements that their links or their text per leaf mark as boilerplate, against the main element around."""
+    count = len(page.elements)
+    length, marks, number, linked, top = [0] * count, [0] * count, [0] * count, [0] * count, [0] * count
+    for e, _, text in page.leaves:
+        if not shut[e] and (n := len(text.strip())):
+            number[e] += 1
+            if page.elements[e].links:
+                linked[e] += n
+            else:
+                length[e] += n
+                marks[e] += len(PUNCTUATION.findall(text))
+    for i in range(count - 1, 0, -1):
+        above = page.elements[i].parent
+        for sums in (length, marks, number, linked):
+            sums[above] += sums[i]
+    ratio = [a / n * (1 + m / n) if n else 0.0 for a, m, n in zip(length, marks, number, strict=True)]
+    for i, x in enumerate(page.elements[1:], 1):
+        top[i] = top[x.parent] or (i if x.main else 0)
+    return {i for i, x in enumerate(page.elements) if x.weak and (linked[i] > length[i] or ratio[i] < THRESHOLD * ratio[top[i]])}
+
+
 def _in_main(page: Page, i: int) -> bool:
     while i > 0:
         if page.elements[i].main:

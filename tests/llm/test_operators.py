@@ -294,6 +294,15 @@ def test_main_text_short_article_beside_the_story():
     assert got.count("of the story") == 6
 
 
+def test_main_text_words_inside_an_article_are_hints_only():
+    for name in ("discussion", "related-work", "side-effects", "search", "alerts"):
+        got = html_text.main_text(f'<article><div class="entry-header"><h1>Title</h1></div>{STORY}<section id="{name}">{STORY}</section></article>')
+        assert got.startswith("Title") and got.count("of the story") == 12
+    noise = '<div class="related"><a href=1>Another story, which is as long as a paragraph.</a></div><div class="promo">Buy now!</div>'
+    got = html_text.main_text(f"<article>{STORY}{noise}</article>")
+    assert got.count("of the story") == 6 and "Another" not in got and "Buy" not in got
+
+
 # 9. Near-duplicates
 
 
