@@ -34,10 +34,14 @@ from pyspark.sql import types as T
 THRESHOLD = 0.25
 ROOT_SHARE = 0.5
 PROSE = 160  # the ratio of leaves of 80 characters and one mark
+#: Names and values as HTML delimits them: a quote opens a value only directly after the equals sign.
+VALUE = r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+"
 TAG = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(>|\Z)", re.DOTALL
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|"
+    rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:{VALUE})?)?)*+)(>|\Z)",
+    re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\s\"'>]+)))?")
+ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({VALUE})?)?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 BLOCK = frozenset(
@@ -97,7 +101,10 @@ class Page:
 def _attributes(raw: str) -> dict[str, str]:
     found: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(raw):
-        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+        value = m[2] or ""
+        if value[:1] in ("'", '"'):
+            value = value[1:].removesuffix(value[0])
+        found.setdefault(m[1].lower(), html.unescape(value))
     return found
 
 

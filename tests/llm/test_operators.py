@@ -303,6 +303,14 @@ def test_main_text_words_inside_an_article_are_hints_only():
     assert got.count("of the story") == 6 and "Another" not in got and "Buy" not in got
 
 
+def test_main_text_stray_quotes_in_tags():
+    assert html_text.main_text("<p title=it's>one two</p><p>four, five</p>") == "one two\nfour, five"
+    assert html_text.main_text('<p class="x"">one</p><p>two</p>') == "one\ntwo"
+    assert html_text.main_text("<p title=a=\"b>one</p><p \"c>two</p><p ='d'>three</p>") == "one\ntwo\nthree"
+    assert html_text.main_text("<p title = \"a > b\" id='c>d'>one</p><p>two</p>") == "one\ntwo"
+    assert html_text._attributes("class=\"x y\" id = 'z' href=/a/b checked title=it's lang=\"\"") == {"class": "x y", "id": "z", "href": "/a/b", "checked": "", "title": "it's", "lang": ""}
+
+
 # 9. Near-duplicates
 
 
