@@ -5,7 +5,8 @@ samples, 64 wide, which is lossless and compressed; a text chunk holds the unpad
 members of ZIP archives in one folder, stored without a second compression.
 
 The data source ``lexigrove_media`` plans partitions from the archives' names and sizes alone: byte ranges, however many
-members there are. A task reads its archive's directory (the ZIP central directory), takes the members whose offsets lie
+members there are. They come from the manifest, which lists what finished tasks wrote, so that archives left by failed,
+repeated or killed tasks are not read; only where no manifest is given is every archive in the folder read. A task reads its archive's directory (the ZIP central directory), takes the members whose offsets lie
 in its range, and streams them in record batches; a member whose read or checksum fails is opened and read again by its
 offset, up to ``ATTEMPTS`` times, without touching the others.
 
@@ -134,18 +135,22 @@ class _Range(InputPartition):
 
 
 class MediaReader(DataSourceReader):
-    def __init__(self, folder: str, span: int):
-        self.folder, self.span = folder, span
+    def __init__(self, folder: str, span: int, archives: list[list] | None = None):
+        self.folder, self.span, self.archives = folder, span, archives
 
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
-        files, root = open_shared(self.folder)
-        found = files.get_file_info(fs.FileSelector(root, allow_not_found=True))
-        found = sorted((x.path, x.size) for x in found if x.path.endswith(".zip"))
+        found = self.archives
+        if found is None:
+            files, root = open_shared(self.folder)
+            found = files.get_file_info(fs.FileSelector(root, allow_not_found=True))
+            found = sorted((x.path, x.size) for x in found if x.path.endswith(".zip"))
         return [_Range(p, n, a, min(n, a + self.span)) for p, n in found for a in range(0, n, self.span)]
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's one task where there are no partitions
+            return
         files, _ = open_shared(self.folder)
         with files.open_input_file(partition.path) as source:
             members = [x for x in zipfile.ZipFile(source).infolist() if partition.begin <= x.header_offset < partition.end]
@@ -200,12 +205,17 @@ class MediaSource(DataSource):
         return "doc_id long, n_bytes long, payload binary, media binary"
 
     def reader(self, schema) -> MediaReader:
-        return MediaReader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)))
+        archives = json.loads(self.options.get("archives", "null"))
+        return MediaReader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)), archives)
 
 
-def read_media(spark: SparkSession, folder: str) -> DataFrame:
+def read_media(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
+    """The members of the manifest's archives (a row for each, of about ``ARCHIVE_BYTES``), or of all in the folder."""
     spark.dataSource.register(MediaSource)
-    return spark.read.format("lexigrove_media").load(folder)
+    source = spark.read.format("lexigrove_media")
+    if manifest is not None:
+        source = source.option("archives", json.dumps(sorted([r["path"], r["bytes"]] for r in manifest.select("path", "bytes").collect())))
+    return source.load(folder)
 
 
 def features(media: DataFrame) -> DataFrame:

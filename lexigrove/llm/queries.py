@@ -73,8 +73,8 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "media")
-    media.write_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
-    return media.features(media.read_media(spark, folder))
+    manifest = media.write_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
+    return media.features(media.read_media(spark, folder, manifest))
 
 
 QUERIES = {

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import json
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -408,6 +409,23 @@ def test_media_member_is_retried_alone(monkeypatch, tmp_path):
     assert sorted(r["doc_id"] for r in rows) == [0, 1, 2] and len(calls) == 4
 
 
+def test_media_of_failed_tasks_are_not_read(spark, monkeypatch):
+    real = media.write_media
+
+    def leaving(docs, folder):
+        manifest = real(docs, folder)
+        path = Path(manifest.first()["path"])
+        path.with_name("again.zip").write_bytes(path.read_bytes())
+        path.with_name("killed.zip").write_bytes(path.read_bytes()[:1000])
+        return manifest
+
+    monkeypatch.setattr(media, "write_media", leaving)
+    got = sorted(r["doc_id"] for r in queries.op10_media(spark, SF).collect())
+    assert got == sorted(r["doc_id"] for r in documents(spark).collect())
+    folder = shared_dir(spark, "m")
+    assert media.read_media(spark, folder, real(odd_documents(spark).limit(0), folder)).count() == 0
+
+
 # The pipeline
 
 
