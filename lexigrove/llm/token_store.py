@@ -77,7 +77,7 @@ class Encoder:
     Byte-level BPE works on each piece of a text alone, so the library's model is asked once for each distinct piece. A
     plain text (Latin letters, no control characters, no runs of three blanks) is cut before each blank, about each line
     break, and about full stops and commas that stand alone between letters, figures or an end; these are piece boundaries
-    there. Cuts are looked up; other texts go to the library whole.
+    there. Cuts are looked up; other texts, and those that hold an added token's content, go to the library whole.
     """
 
     PLAIN = "\t\n" + "".join(map(chr, [*range(32, 127), *range(0xA1, 0x250)]))
@@ -89,7 +89,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole, self.plain = Tokenizer.from_file(path), plain
-        self.whole.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         signs = re.escape("".join(regex.findall(r"[^\s\p{L}\p{N}]", self.PLAIN)))
         self.odd = re.compile(f"[^{re.escape(self.PLAIN)}]")
         self.runs, self.pieces = re.compile(r"\s{3}|\s\s\Z"), regex.compile(PIECES)
@@ -114,7 +114,7 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         gaps = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\t" in text or text[-1:].isspace()
-        if not self.plain or self.odd.search(text) or (gaps and self.runs.search(text)):
+        if not self.plain or self.odd.search(text) or (gaps and self.runs.search(text)) or any(t in text for t in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         cuts = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01")
         if not self.crowded.search(text):

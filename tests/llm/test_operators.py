@@ -111,6 +111,14 @@ def test_encoder_equals_the_library_on_odd_texts(monkeypatch):
         assert mine(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_encoder_knows_added_tokens():
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    mine, t = token_store.Encoder(path, token_store.works_on_pieces(path)), tokenizer()
+    for text in ("one<|endoftext|>two", "<|endoftext|>", "a <|endoftext|> b.", "漢<|endoftext|>\n", "<|endoftext|", "one two"):
+        assert mine(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert np.frombuffer(mine("one<|endoftext|>two"), "<u4").tolist() == [505, 50256, 11545]
+
+
 def test_ans_blocks_decode_and_checksums_tell():
     rng = np.random.default_rng(2)
     for ids in (np.array([5], "<u4"), np.zeros(1000, "<u4"), rng.zipf(1.3, 50_000).clip(0, 40_000).astype("<u4")):
