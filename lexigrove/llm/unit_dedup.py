@@ -5,6 +5,9 @@ A text is cut into units: every line is cut at sentence ends (``.``, ``!`` or ``
 long sentence, wherever a passage begins. A unit is lower-cased, its white space made single blanks, and digested to 128
 bits. Digests are grouped over all documents; the occurrence with the smallest (id, position) stays, the rest is cut out.
 
+Limit: only whole units are compared. What a repeated passage has of a unit that it does not fill stays, and so does all of
+a passage that fills none; the README has the measured recall.
+
 Defined results: null text stays null; units under ``min_words`` words never go; rows that repeat both id and text are
 one document and keep the same units; a null id comes before the others; a line that goes entirely takes its line break
 with it; an empty table gives an empty result. Columns ``text`` and ``removed`` replace those of the input.
