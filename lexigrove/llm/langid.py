@@ -6,8 +6,7 @@ A text is read in windows of ``WINDOW`` bytes, from its first byte to its last,
 and in prediction alike, so any number of windows go through one matrix product and a result does not depend on how rows
 are grouped.
 
-Training uses at most ``SAMPLE`` documents for each of the ``LANGUAGES`` most frequent languages, those with the smallest
-id hashes, and of a long one a piece of ``PIECE`` characters that its hash selects. Prediction covers whole texts.
+Training uses at most ``SAMPLE`` documents for each language that occurs, those with the smallest id hashes, and of a long one a piece of ``PIECE`` characters that its hash selects. Prediction covers whole texts.
 
 Defined results: null text, empty text and text without a letter give ``und`` with score 0; so does everything if there is
 nothing to learn from; ties go to the first language by name; a null id is predicted like any other but not learned from;
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from lexigrove.llm.common import give_back
 
 HIDDEN, WINDOW, STEPS, BATCH, RATE = 8, 64, 240, 192, 0.02
-SAMPLE, PIECE, LANGUAGES = 300, 2000, 64
+SAMPLE, PIECE = 300, 2000
 UNKNOWN = "und"
 
 
@@ -110,7 +109,7 @@ def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[s
 
 
 def train(texts: list[tuple[str, str]], steps: int = STEPS, seed: int = 7) -> Network:
-    """A network fitted to (language, text) pairs by Adam; every language has an equal share of each batch."""
+    """A network fitted to (language, text) pairs by Adam; every language has an equal share of the batches."""
     langs = sorted({lang for lang, _ in texts})
     net = fresh(langs, seed=seed)
     if len(langs) < 2:
@@ -124,7 +123,8 @@ def train(texts: list[tuple[str, str]], steps: int = STEPS, seed: int = 7) -> Ne
     first = {k: np.zeros_like(w) for k, w in net.weights().items()}
     second = {k: np.zeros_like(w) for k, w in net.weights().items()}
     for step in range(1, steps + 1):
-        y = np.arange(BATCH) % len(langs)
+        turn = (step - 1) * BATCH if len(langs) > BATCH else 0  # more languages than a batch holds take turns
+        y = (np.arange(BATCH) + turn) % len(langs)
         x = np.empty((WINDOW, BATCH), np.uint8)
         for i, k in enumerate(y):
             at = int(rng.integers(0, len(pools[k]) - WINDOW + 1))
@@ -214,13 +214,13 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def training_sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
     """The bounded sample as (language, text): one pass counts languages, one reads the selected rows."""
     known = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
+    counts = known.groupBy(lang_col).count().collect()
     if not counts:
         return []
     hashed = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
-    share = F.lit(0.0)
-    for lang, n in counts:  # 1.5 times the wanted number is expected below the limit; all if there are few
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, (1.5 * SAMPLE + 30) / n) * (1 << 30))).otherwise(share)
+    # 1.5 times the wanted number is expected below the limit; all if there are few
+    share = [F.lit(x) for lang, n in counts for x in (lang, min(1.0, (1.5 * SAMPLE + 30) / n) * (1 << 30))]
+    share = F.create_map(*share)[F.col(lang_col)]
     letters = F.col(text_col).rlike(r"\p{L}")
     begin = F.pmod(hashed, F.greatest(F.length(text_col) - PIECE, F.lit(0)) + 1).cast("int") + 1
     rows = known.where((hashed < share) & letters).select(

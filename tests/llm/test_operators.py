@@ -52,6 +52,25 @@ def test_language_odd_inputs(spark):
     assert langid.identify_documents(docs.limit(0)).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"words of language number {i % 70}", f"l{i % 70:02d}") for i in range(210)] + [(1000, "a null language", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.training_sample(docs, F.lit(True), "doc_id", "text", "lang")
+    assert sorted(sample) == sorted((r[2], r[1]) for r in rows[:-1])
+
+
+def test_more_languages_than_a_batch_take_turns(monkeypatch):
+    seen, real = set(), langid.gradients
+
+    def watched(net, x, y):
+        seen.update(y.tolist())
+        return real(net, x, y)
+
+    monkeypatch.setattr(langid, "gradients", watched)
+    langid.train([(f"l{i}", f"text {i}") for i in range(250)], steps=2)
+    assert seen == set(range(250))
+
+
 def test_network_gradients_match_differences():
     rng = np.random.default_rng(1)
     net = langid.fresh(["a", "b"], hidden=3)
