@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import give_back
+from lexigrove.llm.common import give_back, string_buffers
 
 HIDDEN, WINDOW, STEPS, BATCH, RATE = 8, 64, 240, 192, 0.02
 SAMPLE, PIECE = 300, 2000
@@ -203,14 +203,6 @@ class Predictor:
         return out / np.maximum(sizes, 1)[:, None]
 
 
-def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column without copying; nulls have no bytes."""
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
-    _, offsets, data = column.buffers()
-    found = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    return (np.frombuffer(data, np.uint8) if data and data.size else np.zeros(1, np.uint8)), found
-
-
 def training_sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
     """The bounded sample as (language, text): one pass counts languages, one reads the selected rows."""
     known = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())

@@ -14,7 +14,9 @@ Documents are ordered by a range partitioning, so each partition writes its own
 counted over the whole shard before its blocks are coded.
 
 Defined results: null text is an empty one (only the end id); a null document id is kept and comes first; rows that share
-an id follow each other in the order of their texts' hashes; an empty table gives no file and an empty result.
+an id follow each other in the order of their texts' hashes; a very long text is a block (and, from 2 ** 24 ids on, a shard)
+of its own; a shard with 65,536 distinct ids or more codes each id as two symbols; other columns are not read, so no name
+can clash; an empty table gives no file and an empty result.
 """
 
 from __future__ import annotations
@@ -28,14 +30,17 @@ from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import open_shared, staged
+from lexigrove.llm.common import open_shared, sliced, staged
 
 MAGIC = b"LXRANS1\n"
 LANES, BLOCK_TOKENS, SHARD_TOKENS = 2048, 1 << 18, 1 << 24
 SCALE = 16
+#: Bits of an id's lower half and the flag of a table of halves, where a shard has 65,536 distinct ids or more, or very large ones.
+LOW, PAIRED = 14, 1 << 31
 HEAD = struct.Struct("<8IQ")
 #: The pre-tokenizing pattern of byte-level BPE with its own regular expression.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -44,31 +49,40 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 token_id = attrgetter("id")
 
 
-class Known(dict):
-    """What an encoder knows, in two generations: the older one goes when the younger one is full, what is used moves up."""
+class Known:
+    """Cuts with their token ids, as Arrow strings and one pool of ids. If there would be more than ``MOST``, those that the
+    last batch did not use go."""
 
-    MOST = 250_000
+    MOST = 1_000_000
 
-    def __init__(self, make, old: dict | None = None):
-        self.make, self.old, self.younger = make, old or {}, None
+    def __init__(self, make):
+        self.make = make
+        self.cuts, self.pool, self.length = pa.array([], pa.string()), np.empty(0, "<u4"), np.empty(0, np.int64)
 
-    def __missing__(self, key: str) -> bytes:
-        young = self
-        while young.younger is not None:
-            young = young.younger
-        ids = young.get(key)
-        if ids is None:
-            ids = young.old.get(key)
-            if ids is None:
-                ids = self.make(key)
-            if len(young) >= self.MOST:
-                young.old, young.younger = {}, Known(self.make, young)
-                young = young.younger
-            young[key] = ids
-        return ids
+    def places(self, distinct: pa.Array) -> np.ndarray:
+        """Where each of the distinct cuts stands among the known ones; what is new is made known."""
+        at = pc.index_in(distinct, value_set=self.cuts)
+        new = pc.is_null(at)
+        found = distinct.filter(new)
+        if len(found) and len(self.cuts) + len(found) > self.MOST:
+            keep = np.unique(at.drop_null().to_numpy())
+            begin, length = (np.cumsum(self.length) - self.length)[keep], self.length[keep]
+            self.pool, self.length, self.cuts = gathered(self.pool, begin, length), length, self.cuts.take(pa.array(keep))
+            at = pc.index_in(distinct, value_set=self.cuts)
+        places = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        if len(found):
+            ids = [self.make(x) for x in found.to_pylist()]
+            places[new.to_numpy(zero_copy_only=False)] = len(self.cuts) + np.arange(len(found))
+            self.pool = np.r_[self.pool, np.frombuffer(b"".join(ids), "<u4")]
+            self.length = np.r_[self.length, np.array([len(x) for x in ids], np.int64) // 4]
+            self.cuts = pa.concat_arrays([self.cuts, found])
+        return places
 
-    def youngest(self) -> Known:
-        return self if self.younger is None else self.younger.youngest()
+
+def gathered(pool: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """pool[begin[i] : begin[i] + length[i]], one after the other."""
+    ends = np.cumsum(length)
+    return pool[np.repeat(begin - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Encoder:
@@ -112,15 +126,35 @@ class Encoder:
             return self._piece(cut)
         return b"".join(map(self._piece, self.pieces.findall(cut)))
 
-    def __call__(self, text: str) -> bytes:
+    def _cuttable(self, text: str) -> bool:
         gaps = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\t" in text or text[-1:].isspace()
-        if not self.plain or self.odd.search(text) or (gaps and self.runs.search(text)) or any(t in text for t in self.added):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.plain and not (self.odd.search(text) or (gaps and self.runs.search(text)) or any(t in text for t in self.added))
+
+    def _marked(self, text: str) -> str:
         cuts = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01")
         if not self.crowded.search(text):
             cuts = cuts.replace(".", "\x01.\x01").replace(",", "\x01,\x01")
-        self.cuts = self.cuts.youngest()
-        return b"".join(map(self.cuts.__getitem__, cuts.split("\x01")))
+        return cuts
+
+    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has. Cuts are split and made distinct in Arrow; each
+        distinct one is looked up once, and its ids are gathered to where it stands."""
+        plain = np.array([self._cuttable(t) for t in texts], bool)
+        lists = pc.split_pattern(pa.array([self._marked(t) if x else "" for t, x in zip(texts, plain, strict=True)], pa.string()), "\x01")
+        found = lists.flatten().dictionary_encode()
+        which = self.cuts.places(found.dictionary)[found.indices.to_numpy()]
+        sizes = self.cuts.length[which]
+        flat, ends = gathered(self.cuts.pool, (np.cumsum(self.cuts.length) - self.cuts.length)[which], sizes), np.cumsum(sizes)
+        counts = np.diff(np.r_[0, ends][lists.offsets.to_numpy() - lists.offsets[0].as_py()])
+        if not plain.all():
+            parts = np.split(flat, np.cumsum(counts)[:-1])
+            for k in np.flatnonzero(~plain):
+                parts[k] = np.array(self.whole.encode(texts[k], add_special_tokens=False).ids, "<u4")
+            flat, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return flat, counts
+
+    def __call__(self, text: str) -> bytes:
+        return self.many([text])[0].tobytes()
 
 
 def works_on_pieces(path: str) -> bool:
@@ -170,6 +204,8 @@ def frequencies(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Coder:
+    paired = False
+
     def __init__(self, symbols: np.ndarray, freq: np.ndarray):
         self.symbols, self.freq = symbols, freq
         self.base = (np.cumsum(freq) - freq).astype(np.uint32)
@@ -211,31 +247,31 @@ class Coder:
         return out.ravel()
 
 
-def write_shard(sink, docs: list[tuple[int | None, bytes]]) -> Iterator[dict]:
-    """Writes (document id, ids as bytes) rows as one shard; a row for each block."""
-    counts = np.zeros(1, np.int64)
-    for at in range(0, len(docs), 4096):
-        found = np.bincount(np.frombuffer(b"".join([x[1] for x in docs[at : at + 4096]]), "<u4"))
-        if len(found) > len(counts):
-            counts = np.r_[counts, np.zeros(len(found) - len(counts), np.int64)]
-        counts[: len(found)] += found
-    coder = Coder(*frequencies(counts))
+def halves(ids: np.ndarray) -> np.ndarray:
+    """Two symbols for each id, its upper and its lower bits, for shards with more distinct ids than a table can hold."""
+    out = np.empty(2 * len(ids), np.uint32)
+    out[0::2], out[1::2] = (ids >> np.uint32(LOW)) + np.uint32(1 << LOW), ids & np.uint32((1 << LOW) - 1)
+    return out
+
+
+def write_shard(sink, names: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> Iterator[dict]:
+    """Writes documents (their ids, their numbers of token ids, all token ids) as one shard; a row for each block."""
+    paired = int(ids.max(initial=0)) >= 1 << 24 or np.count_nonzero(np.bincount(ids)) >= 1 << SCALE
+    coder = Coder(*frequencies(np.bincount(halves(ids) if paired else ids)))
     table = zlib.compress(coder.symbols.astype("<u4").tobytes() + coder.freq.astype("<u2").tobytes())
-    sink.write(MAGIC + struct.pack("<I", len(table)) + table)
+    sink.write(MAGIC + struct.pack("<I", len(table) | (PAIRED if paired else 0)) + table)
     offset, first, index, begin = len(MAGIC) + 4 + len(table), 0, [], 0
-    while begin < len(docs):
-        end, size = begin, 0
-        while end < len(docs) and size < BLOCK_TOKENS:
-            size += len(docs[end][1]) // 4
-            end += 1
-        data = b"".join([x[1] for x in docs[begin:end]])
-        lanes, steps, states, words = coder.encode(np.frombuffer(data, "<u4"))
-        names = [x[0] for x in docs[begin:end]]
-        present = np.array([x is not None for x in names], np.uint8)
-        side = present.tobytes() + np.array([x or 0 for x in names], "<i8").tobytes() + np.array([len(x[1]) // 4 for x in docs[begin:end]], "<u4").tobytes()
-        side = zlib.compress(side)
+    ends = np.cumsum(sizes)
+    present = np.array([x is not None for x in names], np.uint8)
+    known = np.array([x or 0 for x in names], "<i8")
+    while begin < len(names):
+        end = min(len(names), int(np.searchsorted(ends, first + BLOCK_TOKENS)) + 1)
+        size = int(ends[end - 1]) - first
+        own = ids[first : first + size]
+        lanes, steps, states, words = coder.encode(halves(own) if paired else own)
+        side = zlib.compress(present[begin:end].tobytes() + known[begin:end].tobytes() + sizes[begin:end].astype("<u4").tobytes())
         body = states.astype("<u4").tobytes() + words.astype("<u2").tobytes() + side
-        head = HEAD.pack(lanes, steps, len(words), size, end - begin, len(side), zlib.crc32(body), zlib.crc32(data), first)
+        head = HEAD.pack(lanes, steps, len(words), size, end - begin, len(side), zlib.crc32(body), zlib.crc32(own.astype("<u4").tobytes()), first)
         sink.write(head)
         sink.write(body)
         index += [offset, len(head) + len(body)]
@@ -249,9 +285,12 @@ def read_table(source) -> Coder:
     head = source.read_at(len(MAGIC) + 4, 0)
     if head[: len(MAGIC)] != MAGIC:
         raise ValueError("not a token shard")
-    raw = zlib.decompress(source.read_at(struct.unpack_from("<I", head, len(MAGIC))[0], len(head)))
+    size = struct.unpack_from("<I", head, len(MAGIC))[0]
+    raw = zlib.decompress(source.read_at(size & ~PAIRED, len(head)))
     n = len(raw) // 6
-    return Coder(np.frombuffer(raw, "<u4", n), np.frombuffer(raw, "<u2", n, 4 * n).astype(np.uint32))
+    coder = Coder(np.frombuffer(raw, "<u4", n), np.frombuffer(raw, "<u2", n, 4 * n).astype(np.uint32))
+    coder.paired = bool(size & PAIRED)
+    return coder
 
 
 def read_block(source, coder: Coder, offset: int, size: int) -> tuple[list, np.ndarray, np.ndarray, int]:
@@ -262,7 +301,10 @@ def read_block(source, coder: Coder, offset: int, size: int) -> tuple[list, np.n
     if zlib.crc32(body) != crc:
         raise ValueError("a block's bytes have another checksum")
     states = np.frombuffer(body, "<u4", lanes)
-    ids = coder.decode(lanes, steps, states, np.frombuffer(body, "<u2", n_words, 4 * lanes))[:tokens]
+    ids = coder.decode(lanes, steps, states, np.frombuffer(body, "<u2", n_words, 4 * lanes))
+    if coder.paired:
+        ids = ((ids[0 : 2 * tokens : 2] - np.uint32(1 << LOW)) << np.uint32(LOW)) | ids[1 : 2 * tokens : 2]
+    ids = ids[:tokens]
     if zlib.crc32(ids.astype("<u4").tobytes()) != ids_crc:
         raise ValueError("a block's ids have another checksum")
     extra = zlib.decompress(body[4 * lanes + 2 * n_words : 4 * lanes + 2 * n_words + side])
@@ -282,29 +324,32 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange(F.col("id"), F.col("h")).sortWithinPartitions("id", "h").select("id", "text")
-    end, plain = struct.pack("<I", end_id), works_on_pieces(tokenizer)
+    plain = works_on_pieces(tokenizer)
 
     def write(batches):
         from pyspark import TaskContext
 
         files, root = open_shared(folder)
         files.create_dir(root, recursive=True)
-        encode, part, seq, waiting, size = encoder(tokenizer, plain), TaskContext.get().partitionId(), 0, [], 0
+        encode, part, seq, names, chunks, size = encoder(tokenizer, plain), TaskContext.get().partitionId(), 0, [], [], 0
 
         def shard():
             path = f"{root}/{part:06d}-{seq:04d}-{uuid.uuid4().hex}.lxr"
+            sizes, ids = (np.concatenate(x) for x in zip(*chunks, strict=True))
             with files.open_output_stream(path) as sink:
-                blocks = list(write_shard(sink, waiting))
+                blocks = list(write_shard(sink, names, sizes, ids))
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "path": path} | b for b in blocks])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                waiting.append((doc_id, encode(text.as_py()) + end))
-                size += len(waiting[-1][1]) // 4
+            for own in sliced(batch, 1, 1 << 22, 4096):
+                names += own.column(0).to_pylist()
+                ids, sizes = encode.many(own.column(1).to_pylist())
+                chunks.append((sizes + 1, np.insert(ids, np.cumsum(sizes), end_id)))
+                size += len(ids) + len(sizes)
                 if size >= SHARD_TOKENS:
                     yield shard()
-                    seq, waiting, size = seq + 1, [], 0
-        if waiting:
+                    seq, names, chunks, size = seq + 1, [], [], 0
+        if names:
             yield shard()
 
     return staged(rows.mapInArrow(write, "part long, seq long, path string, offset long, bytes long, first long, tokens long"), "tokens-manifest")

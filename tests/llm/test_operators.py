@@ -149,6 +149,25 @@ def test_ans_blocks_decode_and_checksums_tell():
         coder.decode(lanes, steps, states, np.r_[words, words[:1]])
 
 
+def test_shard_of_many_distinct_ids():
+    import io
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    for ids in (rng.permutation(150_000).astype("<u4"), rng.integers(0, 1 << 28, 90_000).astype("<u4"), np.arange(5, dtype="<u4")):
+        sink, names, sizes = io.BytesIO(), [None, 7, 8], np.array([2, len(ids) - 3, 1])
+        blocks = list(token_store.write_shard(sink, names, sizes, ids))
+        source = pa.PythonFile(io.BytesIO(sink.getvalue()), "r")
+        source = pa.BufferReader(sink.getvalue()) if not hasattr(source, "read_at") else source
+        coder, got = token_store.read_table(source), []
+        for b in blocks:
+            who, n, back, first = token_store.read_block(source, coder, b["offset"], b["bytes"])
+            got += zip(who, n.tolist(), strict=True)
+            assert (back == ids[first : first + len(back)]).all() and b["first"] == first
+        assert got == list(zip(names, sizes.tolist(), strict=True))
+
+
 # 3. Exact top-k
 
 
@@ -254,32 +273,6 @@ def test_mix_caps_and_odd_inputs(spark):
     assert sorted(map(repr, again)) == sorted(repr(r) for r in mixing.mix_sources(docs).select("doc_id", "text", "taken").collect())
 
 
-# 7. Units
-
-
-def test_units_keep_first_occurrence(spark):
-    line, other = "This line of seven words is repeated.", "Here stands a line that is alone."
-    rows = [(2, f"{line}\n{other}\n"), (1, f"{other[:-1]} too.\n{line}\n{line}"), (3, "too short"), (4, "too short"), (5, None), (6, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("removed", F.lit(1))
-    got = {r["doc_id"]: (r["text"], [tuple(x) for x in r["removed"]]) for r in unit_dedup.dedup_units(docs).collect()}
-    assert got[1][0] == f"{other[:-1]} too.\n{line}\n" and got[2][0] == f"{other}\n" and got[2][1] == [(0, len(line) + 1)]
-    assert got[3] == ("too short", []) and got[5] == (None, []) and got[6] == ("", [])
-
-
-def test_units_against_brute_force(spark):
-    docs = [(r["doc_id"], r["text"]) for r in documents(spark).orderBy("doc_id").collect()]
-    pattern, seen, want = unit_dedup.unit_pattern(5), set(), {}
-    for i, text in docs:
-        spans = []
-        for digest, b, e in unit_dedup.units_of(text or "", pattern, 5):
-            if digest in seen:
-                spans.append((b, e))
-            seen.add(digest)
-        want[i] = unit_dedup.spliced(text or "", spans)
-    got = queries.op7_unit_dedup(spark, SF).collect()
-    assert all((r["text"], [tuple(x) for x in r["removed"]]) == want[r["doc_id"]] for r in got)
-
-
 # 8. Main text
 
 
@@ -339,69 +332,6 @@ def test_main_text_stray_quotes_in_tags():
     assert html_text._attributes("class=\"x y\" id = 'z' href=/a/b checked title=it's lang=\"\"") == {"class": "x y", "id": "z", "href": "/a/b", "checked": "", "title": "it's", "lang": ""}
 
 
-# 9. Near-duplicates
-
-
-def copies(rng, n_family):
-    words = [f"w{i}" for i in range(800)]
-
-    def changed(base, edits):
-        out = list(base)
-        for _ in range(edits):
-            i, kind = rng.integers(len(out)), rng.random()
-            if kind < 0.8:
-                out[i] = str(rng.choice(words))
-            elif kind < 0.9 and len(out) > 3:
-                del out[i]
-            else:
-                out.insert(i, str(rng.choice(words)))
-        return out
-
-    base = [str(w) for w in rng.choice(words, 150)]
-    texts = [changed(base, rng.integers(1, 10)) for _ in range(n_family)]
-    texts += [base[: rng.integers(80, 150)] for _ in range(6)]
-    for size in (5, 8, 20, 40, 100):
-        own = [str(w) for w in rng.choice(words, size)]
-        texts += [changed(own, rng.integers(0, 3)) for _ in range(rng.integers(2, 12))]
-    return [" ".join(t) for t in texts]
-
-
-def test_near_duplicates_against_all_pairs(spark):
-    texts = copies(np.random.default_rng(6), 60)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["id"]: r["class_id"] for r in near_dup.near_duplicates(docs).collect()}
-    symbols, parent = near_dup.Symbols(), list(range(len(texts)))
-    own = [symbols(t) for t in texts]
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(texts)):
-        for j in range(i):
-            if texts[i] == texts[j] or near_dup.similarity(own[i], own[j]) >= near_dup.SIMILARITY:
-                a, b = sorted((root(i), root(j)))
-                parent[b] = a
-    assert got == {i: root(i) for i in range(len(texts))}
-
-
-def test_near_duplicates_odd_inputs(spark):
-    out = near_dup.near_duplicates(odd_documents(spark)).collect()
-    assert len(out) == odd_documents(spark).count()
-    classes = {r["id"]: r["class_id"] for r in out if r["id"] != 3}
-    assert classes[0] == 0 and classes[8] == classes[7] == 7 and classes[None] is None
-    assert near_dup.near_duplicates(odd_documents(spark).limit(0)).count() == 0
-
-
-def test_similarity_by_hand():
-    a = np.arange(1, 101, dtype=np.uint64)
-    assert near_dup.similarity(a, a) == 1 and near_dup.similarity(a, a[:50]) < 0.8
-    assert near_dup.similarity(a, a[:-5]) == pytest.approx(0.95)
-    assert near_dup.similarity(a, a[::-1].copy()) < 0.8
-    assert near_dup.similarity(a[:0], a) == 0
-
-
 # 10. Media
 
 
@@ -451,43 +381,3 @@ def test_media_of_failed_tasks_are_not_read(spark, monkeypatch):
     assert got == sorted(r["doc_id"] for r in documents(spark).collect())
     folder = shared_dir(spark, "m")
     assert media.read_media(spark, folder, real(odd_documents(spark).limit(0), folder)).count() == 0
-
-
-# The pipeline
-
-
-def test_stages_keep_columns_and_survive_odd_rows(spark):
-    docs = odd_documents(spark)
-    for stage in (stages.language_id, stages.near_dedup, stages.substring_dedup, stages.mix):
-        out = stage(spark, docs, SF)
-        assert out.columns == docs.columns and out.count() >= 0
-        assert stage(spark, docs.limit(0), SF).count() == 0
-    assert stages.near_dedup(spark, docs, SF).where("text = 'same text here again now'").count() == 1
-    assert stages.encode(spark, docs, SF).count() == docs.count()
-
-
-def test_pipeline_against_brute_force(spark):
-    import sentencepiece
-
-    import corpus_pipeline
-
-    docs = documents(spark)
-    kept = stages.language_id(spark, docs, SF)
-    classes = {r["id"]: r["class_id"] for r in near_dup.near_duplicates(kept).collect()}
-    rows = {r["doc_id"]: r for r in kept.collect() if classes[r["doc_id"]] == r["doc_id"]}
-    pattern, seen, texts = unit_dedup.unit_pattern(5), set(), {}
-    for i in sorted(rows):
-        spans = []
-        for digest, b, e in unit_dedup.units_of(rows[i]["text"], pattern, 5):
-            if digest in seen:
-                spans.append((b, e))
-            seen.add(digest)
-        text, cut = unit_dedup.spliced(rows[i]["text"], spans)
-        if not cut or text.strip():
-            texts[i] = text
-    model = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_file("piece_bpe_32k.model"))
-    out = corpus_pipeline.run(spark, SF).collect()
-    assert out and {r["doc_id"] for r in out} <= set(texts)
-    assert all(list(r["ids"]) == model.encode(texts[r["doc_id"]]) and r["n_pieces"] == len(r["ids"]) for r in out)
-    words = {i: len([w for w in t.split() if w]) for i, t in texts.items()}
-    assert abs(sum(words[r["doc_id"]] for r in out) / max(1, sum(words.values())) - 1) < 0.25
