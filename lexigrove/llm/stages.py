@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrove.llm import langid, mixing, near_dup, pieces, unit_dedup
-from lexigrove.llm.common import staged
+from lexigrove.llm.common import by_ids, free_name, staged
 
 #: A document whose best language has a lower mean probability is rejected, as is one without a letter.
 LEAST_SCORE = 0.4
@@ -19,15 +19,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each class of near-duplicates."""
+    """One document, the one with the smallest id, of each class of near-duplicates; of equal rows one."""
     classes = near_dup.near_duplicates(docs)
-    dropped = staged(classes.where("id <> class_id").select(F.col("id").alias("doc_id"), "text_hash").distinct(), "dropped")
-    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    return near_dup.by_ids(keyed, dropped, ["doc_id", "text_hash"], "left_anti").select(*docs.columns)
+    dropped = staged(classes.where("id <> class_id").select("id", "text_hash").distinct(), "dropped")
+    again = classes.where("id = class_id").groupBy("id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    again = staged(again.select("id", "text_hash"), "repeated-rows")
+    i, h = free_name(docs.columns, "id"), free_name(docs.columns, "text_hash")
+    dropped, again = (x.withColumnsRenamed({"id": i, "text_hash": h}) for x in (dropped, again))
+    keyed = docs.withColumns({i: F.col("doc_id"), h: F.xxhash64("text")})
+    kept = by_ids(keyed, dropped, [i, h], "left_anti")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    one = by_ids(kept, again, [i, h], "left_semi").dropDuplicates([i, h])  # combined before the shuffle, so no hot key
+    return by_ids(kept, again, [i, h], "left_anti").unionAll(one).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the units that an earlier document has; a document of which nothing is left goes."""
+    """Texts without the passages that an earlier document has; a document of which nothing is left goes."""
     out = unit_dedup.dedup_units(docs).where((F.size("removed") == 0) | F.col("text").rlike(r"\S"))
     lengths = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
     return out.withColumns(lengths).select(*docs.columns) if lengths else out.select(*docs.columns)
