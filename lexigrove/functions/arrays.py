@@ -48,6 +48,23 @@ def _joined(parts: Column) -> Column:
     return F.flatten(F.filter(F.zip_with(parts, bases, lambda p, b: F.transform(p, lambda x: x + b)), lambda p: p.isNotNull()))
 
 
+#: Characters from one stretch of a text to the next; each holds two.
+STRETCH = 512
+
+
+def stretches(text: Column) -> Column:
+    """Overlapping parts of a text, so that :func:`cut_of` need not count from the text's begin: texts are counted character by
+    character, which for all tokens of a long one would cost its square."""
+    starts = F.sequence(F.lit(0), F.floor(F.length(text) / F.lit(STRETCH)).cast("int"))
+    return F.transform(starts, lambda k: F.substring(text, k * STRETCH + 1, F.lit(2 * STRETCH)))
+
+
+def cut_of(parts: Column, text: Column, begin: Column, end: Column) -> Column:
+    """Characters [begin, end) of a text with these stretches."""
+    part = F.substring(at(parts, F.floor(begin / F.lit(STRETCH)).cast("int")), begin % STRETCH + 1, end - begin)
+    return F.when(end - begin <= STRETCH, part).otherwise(F.substring(text, begin + 1, end - begin))
+
+
 def at(values: Column, index: Column | int) -> Column:
     """Element ``index`` from 0, or null outside."""
     return F.get(values, F.lit(index) if isinstance(index, int) else index)

@@ -15,10 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.functions.arrays import at, let
+from lexigrove.functions.arrays import at, drop_take, first, let
+from lexigrove.operators import expressions
 from lexigrove.operators.entities import mentions_of
 
-#: Characters that a literal inside a regular expression escapes.
+# The characters that a literal inside a regular expression escapes.
 SPECIAL = frozenset(".?*+^$[]\\(){}|/")
 
 
@@ -54,10 +55,15 @@ class Test:
 
 @dataclass(frozen=True)
 class Rule:
-    tests: tuple[tuple[Test, ...], ...]  # for each token, tests that all hold
+    """``tests``: for each token, tests that all hold; or ``expression``: the tree of anything beyond a sequence of tokens.
+    ``group``: what of the match gets the features."""
+
+    tests: tuple[tuple[Test, ...], ...]
     label: str
     id: int | None = None
     features: dict[str, str] = field(default_factory=dict)
+    expression: tuple | None = None
+    group: str = "$0"
 
 
 def escape(text: str) -> str:
@@ -109,6 +115,7 @@ def format_features(features: dict[str, str | None]) -> str:
     return ",".join(f"{k}={{{'' if v is None else v}}}" for k, v in features.items())
 
 
+# Fixed value: the form of a feature in a rule.
 FEATURE = r"(.+?)=\{(.+?)\},?"
 
 
@@ -166,6 +173,19 @@ def parse_pattern(text: str) -> tuple[tuple[Test, ...], ...]:
     return tuple(out)
 
 
+def rule_of(pattern: str, label: str, number: int | None, features: dict[str, str], group: str = "$0") -> Rule:
+    """A rule from its expression: a plain sequence of tokens, or with quantifiers, alternatives, groups, any token, negation."""
+    try:
+        tests = parse_pattern(pattern)
+        if tests and group == "$0":
+            return Rule(tests, label, number, features)
+    except ValueError:
+        pass
+    tree = expressions.read(pattern, Test)
+    expressions.check(tree, group)
+    return Rule((), label, number, features, tree, group)
+
+
 def _tests(text: str):
     at_ = 0
     while at_ < len(text):
@@ -184,40 +204,48 @@ def parse_rule(line: str) -> Rule:
     m = _RULE.match(line)
     if not m:
         raise ValueError(f"not a rule: {line}")
-    actions = {key: value for _, key, value in _ACTION.findall(m["actions"])}
+    found = _ACTION.findall(m["actions"])
+    actions = {key: value for _, key, value in found}
+    group = next((g for g, key, _ in found if key == "zstrfeat"), "$0")
     features = dict(re.findall(FEATURE, actions.get("zstrfeat", "")))
     number = actions.get("zstriid")
-    return Rule(parse_pattern(m["pattern"]), actions["zstrner"], int(number) if number else None, features)
+    return rule_of(m["pattern"], actions["zstrner"], int(number) if number else None, features, group)
 
 
 def rules_of(items: list[Item]) -> list[Rule]:
     """Rules of items, without a file between."""
     out = []
     for item in items:
-        tests = parse_pattern(item.content) if item.is_regexp else tuple((t,) for t in compiled(item))
-        if tests:
-            out.append(Rule(tests, item.label, item.id, {k: v for k, v in (item.features or {}).items() if v}))
+        features = {k: v for k, v in (item.features or {}).items() if v}
+        if item.is_regexp:
+            out.append(rule_of(item.content, item.label, item.id, features, item.feature_group))
+        elif tests := tuple((t,) for t in compiled(item)):
+            out.append(Rule(tests, item.label, item.id, features))
     return out
 
 
 _FIELDS = {"word": "text", "lemma": "lemma", "tag": "pos_tag", "ner": "ner_tag"}
 
 
-def _holds(token: Column, tests: tuple[Test, ...]) -> Column:
-    def one(t: Test) -> Column:
-        value = token[_FIELDS[t.attribute]]
-        return value.rlike(f"^(?:{t.value})$") if t.regex else value == t.value
+def _one(token: Column, t: Test) -> Column:
+    value = token[_FIELDS[t.attribute]]
+    return value.rlike(f"^(?:{t.value})$") if t.regex else value == t.value
 
-    return reduce(lambda a, b: a & b, map(one, tests))
+
+def _holds(token: Column, tests: tuple[Test, ...]) -> Column:
+    return reduce(lambda a, b: a & b, [_one(token, t) for t in tests])
 
 
 def matches(tokens: Column, rules: list[Rule]) -> Column:
-    """``array<struct<begin, end, rule>>``: the matches kept, in order; token positions in the utterance, half-open."""
+    """``array<struct<begin, less, rule, end, from, to>>``: the matches kept, in order; token positions in the utterance,
+    half-open; [from, to) gets the rule's features."""
 
     def over(ts: Column) -> Column:
         indexes = F.when(F.size(ts) > 0, F.sequence(F.lit(0), F.size(ts) - 1)).otherwise(F.array().cast("array<int>"))
 
         def places(number: int, rule: Rule) -> Column:
+            if rule.expression is not None:
+                return expressions.places(ts, rule.expression, rule.group, number, _one)
             n = len(rule.tests)
 
             def here(i: Column) -> Column:
@@ -227,7 +255,7 @@ def matches(tokens: Column, rules: list[Rule]) -> Column:
                 return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
 
             def match(i: Column) -> Column:
-                return F.struct(i.alias("begin"), F.lit(-n).alias("less"), F.lit(number).alias("rule"), (i + n).alias("end"))
+                return F.struct(i.alias("begin"), F.lit(-n).alias("less"), F.lit(number).alias("rule"), (i + n).alias("end"), i.alias("from"), (i + n).alias("to"))
 
             return F.transform(F.filter(indexes, here), match)
 
@@ -251,6 +279,7 @@ def match_patterns(df: DataFrame, rules: list[Rule], text_col: str = "text") ->
     """
     earlier = "tok_re_ner_tag" in df.schema["tokens"].dataType.elementType.names
     strings = lambda rows: F.array(*[F.lit(x) for x in rows]) if rows else F.array().cast("array<string>")
+    grouped = any(r.group != "$0" for r in rules)
     labels, ids = strings([r.label for r in rules]), F.array(*[F.lit(r.id).cast("int") for r in rules]) if rules else None
     maps = [F.create_map(*[F.lit(x) for kv in r.features.items() for x in kv]) if r.features else F.lit(None).cast("map<string,string>") for r in rules]
 
@@ -258,14 +287,22 @@ def match_patterns(df: DataFrame, rules: list[Rule], text_col: str = "text") ->
         nulls = lambda n: F.array_repeat(F.lit(None).cast("int"), n)
         end_before = lambda k: F.coalesce(at(kept, k - 1)["end"], F.lit(0))
         parts = F.transform(kept, lambda m, k: F.concat(nulls(m["begin"] - end_before(k)), F.array_repeat(m["rule"], m["end"] - m["begin"])))
-        rule_at = F.concat(F.flatten(parts), nulls(F.size(ts) - end_before(F.size(kept))))
-
-        def of(t: Column, r: Column) -> Column:
+        rest = nulls(F.size(ts) - end_before(F.size(kept)))
+        rule_at = F.transform(F.concat(F.flatten(parts), rest), lambda r: F.struct(r.alias("rule"), r.alias("to")))
+        if grouped:  # only a group of the match gets the features
+            fill = lambda m: F.array_repeat(F.struct(m["rule"].alias("rule"), F.lit(None).cast("int").alias("to")), m["end"] - m["begin"])
+            marks = lambda m: F.transform(fill(m), lambda x, i: x.withField("to", F.when((i + m["begin"] >= m["from"]) & (i + m["begin"] < m["to"]), x["rule"])))
+            none = lambda n: F.array_repeat(F.struct(F.lit(None).cast("int").alias("rule"), F.lit(None).cast("int").alias("to")), n)
+            parts = F.transform(kept, lambda m, k: F.concat(none(m["begin"] - end_before(k)), marks(m)))
+            rule_at = F.concat(F.flatten(parts), none(F.size(ts) - end_before(F.size(kept))))
+
+        def of(t: Column, x: Column) -> Column:
+            r, to = x["rule"], x["to"]
             old = (lambda c, kind: t[c]) if earlier else (lambda c, kind: F.lit(None).cast(kind))
             return (
                 t.withField("tok_re_ner_tag", F.coalesce(F.get(labels, r), old("tok_re_ner_tag", "string")))
                 .withField("tok_re_ner_item_id", F.when(r.isNotNull(), F.get(ids, r)).otherwise(old("tok_re_ner_item_id", "int")))
-                .withField("tok_re_ner_features", F.when(r.isNotNull(), F.get(F.array(*maps), r)).otherwise(old("tok_re_ner_features", "map<string,string>")))
+                .withField("tok_re_ner_features", F.when(r.isNotNull(), F.get(F.array(*maps), to)).otherwise(old("tok_re_ner_features", "map<string,string>")))
             )
 
         return F.zip_with(ts, rule_at, of)
@@ -278,10 +315,9 @@ def match_patterns(df: DataFrame, rules: list[Rule], text_col: str = "text") ->
         out = df.withColumn("t_kept", matches(F.col("tokens"), rules))
         out = out.withColumn("tokens", let(F.col("tokens"), lambda ts: let(F.col("t_kept"), lambda kept: over(ts, kept)))).drop("t_kept")
     found = mentions_of(F.col("tokens"), F.col(text_col), "tok_re_ner_tag", ("tok_re_ner_tag", "tok_re_ner_item_id"))
-    with_features = let(
-        F.col("tokens"),
-        lambda ts: F.transform(found, lambda m: m.withField("tok_re_ner_features", at(ts, m["token_range"]["begin"])["tok_re_ner_features"])),
-    )
+    inside = lambda ts, m: F.transform(drop_take(ts, m["token_range"]["begin"], m["token_range"]["end"]), lambda t: t["tok_re_ner_features"])
+    value = lambda ts, m: first(F.filter(inside(ts, m), lambda x: x.isNotNull())) if grouped else at(ts, m["token_range"]["begin"])["tok_re_ner_features"]
+    with_features = let(F.col("tokens"), lambda ts: F.transform(found, lambda m: m.withField("tok_re_ner_features", value(ts, m))))
     return out.withColumn("tok_re_mentions", with_features)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.functions import tags as tg
-from lexigrove.functions.arrays import at, count_if, let, settled
+from lexigrove.functions.arrays import at, count_if, cut_of, let, settled, stretches
 from lexigrove.functions.ranges import in_range, overlaps, range_of
 from lexigrove.operators import access, entities, features, morphology, patterns, roles, sentiment, syntax, tokens, wordcount
 from lexigrove.plans import oracles as o
@@ -98,10 +98,14 @@ def tokenize_whitespace(spark, sf_dir):
       count_if(substr(src.text, b + 1, e - b) <> tok.text)::BIGINT AS n_bad FROM tok JOIN src USING (doc_id) GROUP BY doc_id""",
 )
 def token_offsets(spark, sf_dir):
-    df = tokens.exploded(annotated(spark, sf_dir, "documents").withColumn("whole", F.col("text")), "doc_id", "whole")
-    b, e = F.col("char_range.begin"), F.col("char_range.end")
-    bad = F.count_if(F.substring(F.col("whole"), b + 1, e - b) != F.col("text"))
-    return df.groupBy("doc_id").agg(F.sum(b).alias("sum_begin"), F.sum(e).alias("sum_end"), long_(F.max(e)).alias("last_end"), bad.alias("n_bad"))
+    df = annotated(spark, sf_dir, "documents").select("doc_id", "text", settled(F.col("tokens")).alias("tokens")).where(F.size("tokens") > 0)
+    ends = lambda k: F.transform("tokens", lambda t: t["char_range"][k])
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+    cut = lambda ts: let(
+        stretches(F.col("text")), lambda s: F.filter(ts, lambda t: cut_of(s, F.col("text"), t["char_range"]["begin"], t["char_range"]["end"]) != t["text"])
+    )
+    bad = long_(F.size(cut(F.col("tokens"))))
+    return df.select("doc_id", total(ends("begin")).alias("sum_begin"), total(ends("end")).alias("sum_end"), long_(F.array_max(ends("end"))).alias("last_end"), bad.alias("n_bad"))
 
 
 @query(
@@ -429,14 +433,14 @@ def mention_text_recut(spark, sf_dir):
 @query(
     "mention_for_token",
     chain("documents", "men")
-    + """ SELECT t.doc_id, t.i AS tok_begin, t.text, m.entity_type, m.text AS mention_text
-    FROM tagged t JOIN men m ON t.doc_id = m.doc_id AND m.tb <= t.i AND t.i + 1 <= m.te""",
+    + """, places AS (SELECT doc_id, entity_type, text AS mention_text, unnest(range(tb, te))::INT AS i FROM men)
+    SELECT t.doc_id, t.i AS tok_begin, t.text, p.entity_type, p.mention_text FROM places p JOIN tagged t ON t.doc_id = p.doc_id AND t.i = p.i""",
 )
 def mention_for_token(spark, sf_dir):
     df = annotated(spark, sf_dir, "documents", "sen", "tag", "ner")
-    rows, found = tokens.exploded(df, "doc_id").select("doc_id", "text", "token_range", "sent_index"), _mentions(df, "doc_id")
-    out = access.join_tokens_mentions(rows, found.select("doc_id", "entity_type", "text", "token_range", "sent_index"), ["doc_id"], same_sentence=False)
-    return out.select("doc_id", F.col("token_range.begin").alias("tok_begin"), "text", F.col("m_entity_type").alias("entity_type"), F.col("m_text").alias("mention_text"))
+    both = tokens.elements(df, access.token_mentions(F.col("tokens"), F.col("mentions")), "doc_id").withColumnRenamed("x", "m")
+    rows = both.select("doc_id", F.col("m.entity_type").alias("entity_type"), F.col("m.text").alias("mention_text"), F.explode("m.tokens").alias("t"))
+    return rows.select("doc_id", F.col("t.token_range.begin").alias("tok_begin"), "t.text", "entity_type", "mention_text")
 
 
 @query(
@@ -546,6 +550,54 @@ def _split_runs(df: DataFrame) -> DataFrame:
     return df.withColumn("tok_re_mentions", F.flatten(F.transform("tok_re_mentions", pairs)))
 
 
+@query(
+    "tokre_quantifier",
+    chain("documents", "sen")
+    + """, c AS (SELECT doc_id, i, l, lead(l) OVER w AS l1, lead(l, 2) OVER w AS l2, lead(l, 3) OVER w AS l3 FROM sen WINDOW w AS (PARTITION BY doc_id, s ORDER BY i))
+    SELECT doc_id, i::INT AS tok_begin, (i + CASE WHEN l1 = 'the' THEN 2 WHEN l2 = 'the' THEN 3 ELSE 4 END)::INT AS tok_end FROM c WHERE l = 'of'
+      AND (l1 = 'the' OR (l1 <> 'of' AND (l2 = 'the' OR (l2 <> 'of' AND l3 = 'the'))))""",
+)
+def tokre_quantifier(spark, sf_dir):
+    """Up to two tokens between two words; a match can neither hold nor touch another one."""
+    items = [patterns.Item("[{word:/(?i)of/}] [!{word:/(?i)of|the/}]{0,2} [{word:/(?i)the/}]", "OF_THE", is_regexp=True)]
+    return _tokre_spans(spark, sf_dir, items)
+
+
+@query(
+    "tokre_alternation",
+    chain("documents", "sen")
+    + """, c AS (SELECT doc_id, i, l, lead(l) OVER w AS l1, lead(l, 2) OVER w AS l2 FROM sen WINDOW w AS (PARTITION BY doc_id, s ORDER BY i))
+    SELECT doc_id, i::INT AS tok_begin, (i + CASE WHEN l = 'und' THEN 3 ELSE 2 END)::INT AS tok_end FROM c
+    WHERE (l IN ('in', 'on', 'de') AND l1 IN ('the', 'la')) OR (l = 'und' AND l1 NOT IN ('und', 'in', 'on', 'de') AND l2 = 'die')""",
+)
+def tokre_alternation(spark, sf_dir):
+    content = '(?: [{word:/(?i)in|on|de/}] ([{word:/(?i)the/} | {word:/(?i)la/}]) | /(?i)und/ [!{word:/(?i)und|in|on|de/}] /(?i)die/ )'
+    return _tokre_spans(spark, sf_dir, [patterns.Item(content, "PHRASE", is_regexp=True)])
+
+
+def _tokre_spans(spark, sf_dir, items) -> DataFrame:
+    kept = patterns.matches(F.col("tokens"), patterns.rules_of(items))
+    rows = tokens.elements(annotated(spark, sf_dir, "documents", "sen"), kept, "doc_id")
+    return rows.select("doc_id", F.col("x.begin").alias("tok_begin"), F.col("x.end").alias("tok_end"))
+
+
+@query(
+    "tokre_group",
+    chain("documents", "sen")
+    + """, c AS (SELECT doc_id, i, l, lead(l) OVER w AS l1 FROM sen WINDOW w AS (PARTITION BY doc_id, s ORDER BY i)),
+    hits AS (SELECT doc_id, i FROM c WHERE l = 'of' AND l1 = 'the')
+    SELECT doc_id, count(*)::BIGINT AS n_labelled, (count(*) // 2)::BIGINT AS n_featured FROM (
+      SELECT doc_id, i FROM hits UNION ALL SELECT doc_id, i + 1 FROM hits) GROUP BY doc_id""",
+)
+def tokre_group(spark, sf_dir):
+    """The label goes to the whole match, the features to its second group."""
+    items = [patterns.Item("([{word:/(?i)of/}]) (?$what [{word:/(?i)the/}])", "OF_THE", features={"part": "article"}, is_regexp=True, feature_group="$what")]
+    df = _matched(spark, sf_dir, "documents", items).select("doc_id", settled(F.col("tokens")).alias("tokens"))
+    of = lambda test: long_(F.size(F.filter("tokens", test)))
+    counts = df.select("doc_id", of(lambda t: t["tok_re_ner_tag"] == "OF_THE").alias("n_labelled"), of(lambda t: t["tok_re_ner_features"]["part"] == "article").alias("n_featured"))
+    return counts.where("n_labelled > 0")
+
+
 FEATURE_TEXTS = ["food-type={snack}", "pii-type={ssn},level={high}", "a={1},b={2},c={3}", ""]
 
 

@@ -54,7 +54,7 @@ def named_entity_recognizer(paths: list[str] | None = None, lang: str = "ENGLISH
 
 
 def token_regex(rules: list | None = None) -> Component:
-    """Match token patterns: lists of rules, or a list of such lists for annotators that run one after another."""
+    """Match token patterns: rules or paths of rule files, or lists of them for annotators that run one after another."""
     return Component("tok-re", "rules", {"rules": rules or []})
 
 
@@ -111,8 +111,11 @@ DEFAULT_RULES = [k for k in RULE_CONSTRUCTORS if k != "token-regex"]
 
 
 def _patterns(df: DataFrame, rules: list, text_col: str) -> DataFrame:
+    from lexigrove.sources.rules import read_rules
+
     for chain in rules if rules and isinstance(rules[0], list) else [rules]:
-        df = patterns.match_patterns(df, chain, text_col)
+        known = [x for r in chain for x in (read_rules(df.sparkSession, r) if isinstance(r, str) else [r])]
+        df = patterns.match_patterns(df, known, text_col)
     return df
 
 

@@ -59,7 +59,9 @@ def to_forms(text: str) -> list[Form]:
             found = []
             while True:
                 begin = at
-                while at < len(text) and text[at] not in ",)":
+                depth = 0
+                while at < len(text) and (depth or text[at] not in ",)"):
+                    depth += (text[at] == "[") - (text[at] == "]")  # commas in a vector part its elements
                     at += 1
                 if at == begin or at == len(text):
                     raise ConfigurationError("expected an argument", text, at + 1)
@@ -81,7 +83,7 @@ def to_metadata(text: str) -> list[dict[str, Any]]:
     return [({"namespace": f.namespace} if f.namespace else {}) | {"func": f.func, "params": f.params} for f in to_forms(text)]
 
 
-_LITERAL = re.compile(r'\s*(?:"((?:\\.|[^"\\])*)"|(-?\d+(?:\.\d+)?)|(:?[^\s"{}]+)|(\{)|(\}))')
+_LITERAL = re.compile(r'\s*(?:"((?:\\.|[^"\\])*)"|(-?\d+(?:\.\d+)?)|(:?[^\s"{}\[\],]+)|(\{)|([}\]])|(\[))')
 
 
 def read_literal(text: str) -> Any:
@@ -98,7 +100,14 @@ def _read(text: str, at: int) -> tuple[Any, int]:
     at = m.end()
     if m[1] is not None:
         return re.sub(r"\\(.)", r"\1", m[1]), at
-    if m[2] is not None and not re.match(r"[^\s\"{}]", text[at:]):
+    if m[6]:
+        items: list[Any] = []
+        while not re.match(r"\s*\]", text[at:]):
+            value, at = _read(text, at)
+            items.append(value)
+            at += re.match(r"[\s,]*", text[at:]).end()
+        return items, at + text[at:].index("]") + 1
+    if m[2] is not None and not re.match(r"[^\s\"{}\[\],]", text[at:]):
         return (float(m[2]) if "." in m[2] else int(m[2])), at
     if m[4]:
         out: dict[str, Any] = {}
