@@ -83,6 +83,11 @@ def first_propbank_label(tokens: Column) -> Column:
     return first(F.filter(tokens, lambda t: t["srl"]["propbank"].isNotNull()))["srl"]["propbank"]
 
 
+def first_sentence_propbank_label(tokens: Column, index: Column | int = 0) -> Column:
+    """The first frame of a predicate among a sentence's tokens."""
+    return first_propbank_label(F.filter(tokens, lambda t: t["sent_index"] == index))
+
+
 def tokens_equal(a: Column, b: Column) -> Column:
     return a["text"].eqNullSafe(b["text"]) & a["sent_index"].eqNullSafe(b["sent_index"]) & a["token_range"].eqNullSafe(b["token_range"])
 

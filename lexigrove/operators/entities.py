@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions.arrays import at, let
 from lexigrove.functions.ranges import range_of
+from lexigrove.operators.morphology import label_in
 
 MONTHS = "january february march april may june july august september october november december".split()
 DAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
@@ -57,15 +58,17 @@ def normalized(text: Column, ner_tag: Column) -> Column:
     return F.when(ner_tag.isin("NUMBER", "MONEY", "PERCENT") & text.rlike(r"^[0-9]"), F.regexp_replace(text, ",", ""))
 
 
-def recognize_entities(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Tokens get ner_tag, entity_type and normalized_tag; ``mentions`` is added. Runs after part-of-speech tagging."""
+def recognize_entities(df: DataFrame, text_col: str = "text", lexicon: dict[str, str] | None = None) -> DataFrame:
+    """Tokens get ner_tag, entity_type and normalized_tag; ``mentions`` is added. Runs after part-of-speech tagging. Words of a
+    lexicon of one's own have its tag."""
+    own = label_in(lexicon)
 
     def one(ts: Column) -> Column:
         def of(t: Column, i: Column) -> Column:
             before = F.when(t["token_index"] > 1, at(ts, i - 1))
             after = at(ts, i + 1)
             after = F.when(after["sent_index"] == t["sent_index"], after)
-            return t.withField("ner_tag", entity_tag(t, before, after))
+            return t.withField("ner_tag", F.coalesce(own(t["text"]), entity_tag(t, before, after)))
 
         return F.transform(ts, of)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexigrove.defaults import EMPTY, NONE_LABEL
-from lexigrove.functions.arrays import count_if, first, last, let, ratio
+from lexigrove.functions.arrays import at, count_if, first, last, let, ratio
 from lexigrove.functions.strings import feature_name, java_hash
 from lexigrove.functions.tags import TAG_TYPES, pos_tag_or_none, pos_tag_type, pos_tags
 
@@ -120,13 +120,18 @@ def mention_feature_metas(entities: list[str]) -> T.StructType:
 
 
 def tree_features(edges: Column) -> dict[str, Column]:
-    """A hash of the dependency trees, summed over sentences: an identity, stable between runs."""
-    per_sentence = F.transform(
-        F.array_distinct(F.transform(edges, lambda e: e["sent_index"])),
-        lambda s: F.xxhash64(F.transform(F.filter(edges, lambda e: e["sent_index"] == s), lambda e: F.struct(e["token_index"], e["parent_token_index"], e["dep"], e["text"]))),
-    )
-    half = F.transform(per_sentence, lambda h: F.shiftright(h, 20))  # sums of many cannot overflow
-    return {"dep_tree_id": F.aggregate(half, F.lit(0).cast("long"), lambda a, x: a + x)}
+    """A hash of each sentence's dependencies, summed: an identity, stable between runs. Edges are written as lines, one for a
+    sentence, in one pass."""
+
+    def over(es: Column) -> Column:
+        def of(e: Column, i: Column) -> Column:
+            before = F.when(i == 0, "").when(at(es, i - 1)["sent_index"] == e["sent_index"], " ").otherwise("\n")
+            return F.concat(before, F.concat_ws(":", e["token_index"].cast("string"), e["parent_token_index"].cast("string"), e["dep"], e["text"]))
+
+        lines = F.filter(F.split(F.array_join(F.transform(es, of), ""), "\n"), lambda x: F.length(x) > 0)
+        return F.aggregate(F.transform(lines, java_hash), F.lit(0).cast("long"), lambda a, x: a + x)
+
+    return {"dep_tree_id": let(edges, over)}
 
 
 def tree_feature_metas() -> T.StructType:

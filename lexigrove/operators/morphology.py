@@ -177,9 +177,11 @@ def contextual_tag(tag: Column, before: Column, word: Column, word_before: Colum
     )
 
 
-def tag_parts_of_speech(df: DataFrame) -> DataFrame:
-    """Tokens get ``pos_tag``. Runs after sentence splitting."""
-    tagged = F.transform("tokens", lambda t: t.withField("pos_tag", base_tag(t["text"], t["token_index"] == 1)))
+def tag_parts_of_speech(df: DataFrame, lexicon: dict[str, str] | None = None) -> DataFrame:
+    """Tokens get ``pos_tag``. Runs after sentence splitting. Words of a lexicon of one's own have its tag, before corrections
+    by context."""
+    own = label_in(lexicon)
+    tagged = F.transform("tokens", lambda t: t.withField("pos_tag", F.coalesce(own(t["text"]), base_tag(t["text"], t["token_index"] == 1))))
 
     def corrected(ts: Column) -> Column:
         def one(t: Column, i: Column) -> Column:
@@ -192,6 +194,14 @@ def tag_parts_of_speech(df: DataFrame) -> DataFrame:
     return df.withColumn("tokens", let(tagged, corrected))
 
 
+def label_in(lexicon: dict[str, str] | None):
+    """The label of a word in a lexicon, or null."""
+    if not lexicon:
+        return lambda text: F.lit(None).cast("string")
+    known = F.create_map(*[F.lit(x) for kv in lexicon.items() for x in kv])
+    return lambda text: F.try_element_at(known, F.lower(text))
+
+
 def lemma_of(text: Column, tag: Column) -> Column:
     """The lemma of a token with its tag: proper nouns keep their form, others are in lower case."""
 

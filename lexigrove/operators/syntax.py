@@ -148,10 +148,9 @@ def _sentences(tags, words, sizes) -> Iterator[tuple[int, list, list]]:
 def _edges_of(tags, words, sizes, longest: int) -> list[dict]:
     out = []
     for s, t, w in _sentences(tags, words, sizes):
-        if longest and len(t) > longest:
-            continue
         seen: dict[int, int] = {}
-        for i, (head, dep) in enumerate(heads(t, w), 1):
+        flat = [(0, "root")] + [(1, "dep")] * (len(t) - 1)  # a sentence beyond the limit: everything hangs from its first token
+        for i, (head, dep) in enumerate(flat if longest and len(t) > longest else heads(t, w), 1):
             out.append({"sent_index": s, "token_index": i, "parent_token_index": head, "child_ord": seen.get(head, 0), "dep": dep, "text": w[i - 1]})
             seen[head] = seen.get(head, 0) + 1
     return out
@@ -160,9 +159,10 @@ def _edges_of(tags, words, sizes, longest: int) -> list[dict]:
 def _nodes_of(tags, words, sizes, longest: int, binary: bool) -> list[dict]:
     out = []
     for s, t, _ in _sentences(tags, words, sizes):
-        if longest and len(t) > longest:
-            continue
-        nodes = chunk_tree(t)
+        if longest and len(t) > longest:  # a sentence beyond the limit: all tokens below S
+            nodes = [(0, -1, 0, "ROOT", 0), (1, 0, 0, "S", 0), *((k + 1, 1, k - 1, tag, k) for k, tag in enumerate(t, 1))]
+        else:
+            nodes = chunk_tree(t)
         if binary:
             nodes = binarised(nodes)
         spans: dict[int, list[int]] = {}
@@ -275,18 +275,20 @@ def join_parents(edges: DataFrame, keys: list[str]) -> DataFrame:
     return edges.join(parents, [*on, "parent_token_index"], "left")
 
 
-def ancestors(spark, edges: DataFrame, key: str) -> DataFrame:
-    """(key, sent_index, token_index, ancestor, depth) of exploded edges, by recursion in SQL."""
-    edges.createOrReplaceTempView("lexigrove_edges")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE up AS (
-          SELECT {key}, sent_index, token_index, parent_token_index AS ancestor, 1 AS depth FROM lexigrove_edges WHERE parent_token_index > 0
-          UNION ALL
-          SELECT u.{key}, u.sent_index, u.token_index, e.parent_token_index, u.depth + 1 FROM up u JOIN lexigrove_edges e
-            ON u.{key} = e.{key} AND u.sent_index = e.sent_index AND u.ancestor = e.token_index WHERE e.parent_token_index > 0)
-        SELECT * FROM up"""
-    )
+def ancestors(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sent_index, token_index, ancestor, depth) of exploded edges. Each turn joins the tokens that have an ancestor left to
+    its parent; turns are as many as the deepest tree has levels, and each is staged."""
+    from lexigrove.plans.materialise import materialised
+
+    on = [*keys, "sent_index"]
+    up = materialised(edges.where("parent_token_index > 0").select(*on, "token_index", F.col("parent_token_index").alias("ancestor")))
+    parents = up.select(*on, F.col("token_index").alias("ancestor"), F.col("ancestor").alias("above"))
+    depth, found = 1, up.withColumn("depth", F.lit(1))
+    while not up.isEmpty():
+        up = materialised(up.join(parents, [*on, "ancestor"]).select(*on, "token_index", F.col("above").alias("ancestor")))
+        depth += 1
+        found = found.unionAll(up.withColumn("depth", F.lit(depth)))
+    return found
 
 
 #: Quantifiers with the polarity of what they scope over.

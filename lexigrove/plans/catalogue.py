@@ -304,7 +304,14 @@ def verb_features(spark, sf_dir):
     return features.select_features(df, ["conv_id", "turn"], features.verb_features(F.col("tokens")), features.verb_feature_metas())
 
 
-@query("verb_features_root")
+@query(
+    "verb_features_root",
+    chain("conversations", "edges")
+    + f""", verbs AS (SELECT conv_id, turn, coalesce(max(CASE WHEN i = 0 AND tag = 'VB' THEN lower(edges.text) END),
+        max(CASE WHEN s = 0 AND head = 0 AND tag = 'VB' THEN lower(edges.text) END), '<none>') AS elected_verb
+      FROM src LEFT JOIN edges USING (doc_id) GROUP BY conv_id, turn)
+    SELECT conv_id, turn, elected_verb, ({o.java_hash("elected_verb")})::BIGINT AS elected_verb_id FROM verbs""",
+)
 def verb_features_root(spark, sf_dir):
     df = annotated(spark, sf_dir, "conversations", "sen", "tag", "dep")
     root = access.root_dependency(F.col("tokens"), F.col("dependency_edges"))
@@ -620,18 +627,30 @@ def tokre_feature_union(spark, sf_dir):
     return feature_value_table(rules_table(spark, LITERAL_ITEMS)).select("feature", F.array_join("values", ",").alias("all_values"))
 
 
-@query("tokre_rule_lines")
+@query(
+    "tokre_rule_lines",
+    """SELECT * FROM (VALUES
+      (1, 'OF_THE', 'of the', '{pattern:([{word:/(?i)of/}] [{word:/(?i)the/}]),action:(Annotate($0,zstrner,"OF_THE"),Annotate($0,zstriid,"1"))}', ''),
+      (2, 'CONJUNCTION', 'and', '{pattern:([{word:/(?i)(?:&|and)/}]),action:(Annotate($0,zstrner,"CONJUNCTION"),Annotate($0,zstriid,"2"),Annotate($0,zstrfeat,"kind={coordination},arity={2}"))}', 'kind={coordination},arity={2}'),
+      (3, 'IN_THE', 'in the', '{pattern:([{word:/(?i)in/}] [{word:/(?i)the/}]),action:(Annotate($0,zstrner,"IN_THE"),Annotate($0,zstriid,"3"),Annotate($0,zstrfeat,"kind={place}"))}', 'kind={place}'),
+      (4, 'ARTICLE', 'the', NULL, '')) t(id, label, content, rule, features)""",
+)
 def tokre_rule_lines(spark, sf_dir):
     from lexigrove.sources.rules import rules_table
 
     return rules_table(spark, LITERAL_ITEMS)
 
 
-@query("tokre_pii")
+@query(
+    "tokre_pii",
+    chain("documents", "sen")
+    + r""" SELECT doc_id, i::INT AS tok_begin, text, 'card' AS pii_type FROM sen WHERE regexp_matches(text, '^4[0-9]{15}$') AND NOT starts_with(text, '4000')""",
+)
 def tokre_pii(spark, sf_dir):
-    """Numbers in the form of a social security number, by a verbatim expression with look-ahead."""
-    items = [patterns.Item("/^(?!000|666)[0-8][0-9]{2}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$/", "PII", id=1, is_regexp=True, features={"pii-type": "ssn"})]
-    return _mentions(_matched(spark, sf_dir, "documents", items, "tag", "lemma", "ner"), "doc_id", column="tok_re_mentions")
+    """Numbers in the form of a payment card's, by a verbatim expression with look-ahead."""
+    items = [patterns.Item("/(?!4000)4[0-9]{15}/", "PII", id=1, is_regexp=True, features={"pii-type": "card"})]
+    rows = tokens.exploded(_matched(spark, sf_dir, "documents", items), "doc_id").where("tok_re_ner_tag = 'PII'")
+    return rows.select("doc_id", F.col("token_range.begin").alias("tok_begin"), "text", F.col("tok_re_ner_features")["pii-type"].alias("pii_type"))
 
 
 _BOTH = """, both_ AS (SELECT doc_id, 'ner' AS kind, entity_type, tb, te FROM men UNION ALL SELECT doc_id, 'tok_re', label, tb, te FROM tre)"""
@@ -804,28 +823,46 @@ def _edges(spark, sf_dir) -> DataFrame:
     return tokens.elements(df, "dependency_edges", "conv_id", "turn").select("conv_id", "turn", "x.*")
 
 
-@query("dep_edges")
+@query(
+    "dep_edges",
+    chain("conversations", "edges")
+    + """ SELECT conv_id, turn, s::INT AS sent_index, k::INT AS token_index, head::INT AS parent_token_index, child_ord::INT AS child_ord, dep, edges.text
+    FROM edges JOIN src USING (doc_id)""",
+)
 def dep_edges(spark, sf_dir):
     return _edges(spark, sf_dir)
 
 
-@query("root_token")
+@query(
+    "root_token",
+    chain("conversations", "edges")
+    + " SELECT conv_id, turn, edges.text AS root, tag AS root_tag FROM src LEFT JOIN edges ON edges.doc_id = src.doc_id AND s = 0 AND head = 0",
+)
 def root_token(spark, sf_dir):
     df = annotated(spark, sf_dir, "conversations", "sen", "tag", "dep")
     root = access.root_dependency(F.col("tokens"), F.col("dependency_edges"))
     return df.select("conv_id", "turn", root["text"].alias("root"), root["pos_tag"].alias("root_tag"))
 
 
-@query("dep_parent_join")
+@query(
+    "dep_parent_join",
+    chain("conversations", "edges")
+    + """ SELECT a.dep, lower(b.text) AS parent, count(*)::BIGINT AS n FROM edges a LEFT JOIN edges b ON a.doc_id = b.doc_id AND a.s = b.s AND a.head = b.k GROUP BY 1, 2""",
+)
 def dep_parent_join(spark, sf_dir):
     out = syntax.join_parents(_edges(spark, sf_dir), ["conv_id", "turn"])
     return out.groupBy("dep", F.lower("parent_text").alias("parent")).agg(F.count("*").alias("n"))
 
 
-@query("dep_ancestors")
+@query(
+    "dep_ancestors",
+    chain("conversations", "edges").replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, up AS (SELECT doc_id, s, head, 1 AS depth FROM edges WHERE head > 0
+      UNION ALL SELECT up.doc_id, up.s, e.head, depth + 1 FROM up JOIN edges e ON e.doc_id = up.doc_id AND e.s = up.s AND e.k = up.head WHERE e.head > 0)
+    SELECT depth::INT AS depth, count(*)::BIGINT AS n FROM up GROUP BY depth""",
+)
 def dep_ancestors(spark, sf_dir):
-    edges = _edges(spark, sf_dir).withColumn("utterance", F.col("conv_id") * 10000 + F.col("turn"))
-    return syntax.ancestors(spark, edges, "utterance").groupBy("depth").agg(F.count("*").alias("n"))
+    return syntax.ancestors(_edges(spark, sf_dir), ["conv_id", "turn"]).groupBy("depth").agg(F.count("*").alias("n"))
 
 
 def _nodes(spark, sf_dir) -> DataFrame:
@@ -872,7 +909,16 @@ def _roles(spark, sf_dir) -> DataFrame:
     return annotated(spark, sf_dir, "conversations", "sen", "tag", "lemma", "dep", "srl")
 
 
-@query("srl_features")
+_FRAMES = f"""CASE WHEN e.tag IN {o.listed(syntax.VERBS)} THEN CASE lemma {' '.join(f"WHEN '{k}' THEN '{x}'" for k, x in syntax.FRAMES.items())} ELSE lemma || '.01' END END"""
+
+
+@query(
+    "srl_features",
+    chain("conversations", "edges", "ann")
+    + f""", r AS (SELECT e.doc_id, e.dep, {_FRAMES} AS frame FROM edges e JOIN ann ON ann.doc_id = e.doc_id AND ann.i = e.i)
+    SELECT conv_id, turn, coalesce(sum({o.java_hash("frame")}) FILTER (frame IS NOT NULL), 0)::BIGINT AS srl_propbank_id,
+      count(*) FILTER (dep IN {o.listed(roles.ARGUMENTS)})::BIGINT AS srl_argument_counts FROM src LEFT JOIN r USING (doc_id) GROUP BY conv_id, turn""",
+)
 def srl_features(spark, sf_dir):
     return features.select_features(_roles(spark, sf_dir), ["conv_id", "turn"], features.srl_features(F.col("tokens")), features.srl_feature_metas())
 
@@ -890,13 +936,30 @@ def srl_propbank(spark, sf_dir):
     return out.withColumn("first_propbank", settled(F.col("first_propbank"))).where("first_propbank IS NOT NULL")
 
 
+@query(
+    "srl_propbank_sentence",
+    chain("conversations", "ann")
+    + f""" SELECT conv_id, turn, arg_min({_FRAMES.replace("e.tag", "tag")}, i) FILTER (tag IN {o.listed(syntax.VERBS)}) AS first_propbank
+    FROM src LEFT JOIN (SELECT * FROM ann WHERE s = 1) USING (doc_id) GROUP BY conv_id, turn""",
+)
+def srl_propbank_sentence(spark, sf_dir):
+    """The first frame of each utterance's second sentence."""
+    return _roles(spark, sf_dir).select("conv_id", "turn", access.first_sentence_propbank_label(F.col("tokens"), 1).alias("first_propbank"))
+
+
 @query("srl_zip", chain("conversations", "tok") + " SELECT conv_id, turn, count(*)::BIGINT AS n FROM tok JOIN src USING (doc_id) GROUP BY conv_id, turn")
 def srl_zip(spark, sf_dir):
     df = nonempty(_roles(spark, sf_dir))
     return df.select("conv_id", "turn", long_(count_if(F.col("tokens"), lambda t: t["srl"]["id"] == t["token_index"])).alias("n"))
 
 
-@query("srl_heads")
+@query(
+    "srl_heads",
+    chain("conversations", "edges", "ann")
+    + f""", r AS (SELECT e.doc_id, e.s, e.k, e.head, e.dep, {_FRAMES} AS frame FROM edges e JOIN ann ON ann.doc_id = e.doc_id AND ann.i = e.i)
+    SELECT CASE a.dep {' '.join(f"WHEN '{k}' THEN '{x}'" for k, x in roles.RELATIONS.items())} ELSE a.dep END AS dependency_label, b.frame AS head_propbank, count(*)::BIGINT AS n
+    FROM r a LEFT JOIN r b ON a.doc_id = b.doc_id AND a.s = b.s AND a.head = b.k GROUP BY 1, 2""",
+)
 def srl_heads(spark, sf_dir):
     rows = tokens.exploded(_roles(spark, sf_dir), "conv_id", "turn").select("conv_id", "turn", "sent_index", "srl.*")
     return roles.join_heads(rows, ["conv_id", "turn"]).groupBy("dependency_label", "head_propbank").agg(F.count("*").alias("n"))
@@ -912,7 +975,13 @@ def srl_best_tree(spark, sf_dir):
     return grouped.select("sent_index", roles.best_tree(F.col("trees"), F.col("n_tokens"))["score"].alias("score"))
 
 
-@query("tree_features")
+@query(
+    "tree_features",
+    chain("conversations", "edges")
+    + f""", trees AS (SELECT doc_id, s, string_agg(k || ':' || head || ':' || dep || ':' || text, ' ' ORDER BY k) AS tree FROM edges GROUP BY doc_id, s),
+    hashed AS (SELECT doc_id, ({o.java_hash("tree")})::BIGINT AS h FROM trees)
+    SELECT conv_id, turn, coalesce(sum(h), 0)::BIGINT AS dep_tree_id FROM src LEFT JOIN hashed USING (doc_id) GROUP BY conv_id, turn""",
+)
 def tree_features(spark, sf_dir):
     df = annotated(spark, sf_dir, "conversations", "sen", "tag", "dep")
     return features.select_features(df, ["conv_id", "turn"], features.tree_features(F.col("dependency_edges")), features.tree_feature_metas())

@@ -34,7 +34,7 @@ def sentence() -> Component:
 
 
 def part_of_speech(pos_model_resource: str = "lexicon") -> Component:
-    """Tag tokens with parts of speech."""
+    """Tag tokens with parts of speech; a resource is the path of a lexicon of one's own."""
     return Component("pos", "rules", {"pos_model_resource": pos_model_resource})
 
 
@@ -49,7 +49,7 @@ def stopword() -> Component:
 
 
 def named_entity_recognizer(paths: list[str] | None = None, lang: str = "ENGLISH") -> Component:
-    """Tag named entities and group them into mentions."""
+    """Tag named entities and group them into mentions; paths are lexicons of one's own."""
     return Component("ner", "rules", {"ner_model_paths": paths, "lang": lang})
 
 
@@ -119,6 +119,12 @@ def _patterns(df: DataFrame, rules: list, text_col: str) -> DataFrame:
     return df
 
 
+def _lexicon(df: DataFrame, paths: list[str] | None) -> dict[str, str] | None:
+    from lexigrove.sources.lexicons import read_lexicon
+
+    return read_lexicon(df.sparkSession, *paths) if paths else None
+
+
 def run_rules(df: DataFrame, component: Component, text_col: str) -> DataFrame:
     """Adds what a component of the rules library stands for; components of other libraries change nothing."""
     o = component.options
@@ -128,13 +134,13 @@ def run_rules(df: DataFrame, component: Component, text_col: str) -> DataFrame:
         case "sents":
             return tokens.split_sentences(df)
         case "pos":
-            return morphology.tag_parts_of_speech(df)
+            return morphology.tag_parts_of_speech(df, _lexicon(df, [x] if (x := o["pos_model_resource"]) != "lexicon" else None))
         case "morph":
             return morphology.add_lemmas(df)
         case "stopword":
             return morphology.flag_stop_words(df, o.get("lang", "en"))
         case "ner":
-            return entities.recognize_entities(df, text_col)
+            return entities.recognize_entities(df, text_col, _lexicon(df, o["ner_model_paths"]))
         case "tok-re":
             return _patterns(df, o["rules"], text_col)
         case "parse-tree":

@@ -14,6 +14,8 @@ def shared_folder(spark) -> str:
     """``spark.checkpoint.dir``, which executors share; a temporary folder only where that is unset (one machine, tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that all executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="lexigrove-"))
         base = _OWN[0]

@@ -11,6 +11,7 @@ from lexigrove.functions.tags import GO_TAGS, TAG_DESCRIPTIONS, TAG_TYPES
 from lexigrove.operators import entities as en
 from lexigrove.operators import morphology as mo
 from lexigrove.operators import sentiment as se
+from lexigrove.operators import syntax as sy
 
 
 def quoted(text: str) -> str:
@@ -26,7 +27,7 @@ TOKEN, CLITIC = quoted(defaults.TOKEN), quoted(defaults.CLITIC)
 #: Tables as (doc_id, text, and what queries need beside).
 SOURCES = {
     "documents": "SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents",
-    "conversations": "SELECT conv_id * 10000 + turn AS doc_id, conv_id, turn, role, coalesce(text, '') AS text FROM conversations",
+    "conversations": "SELECT conv_id::HUGEINT * 4294967296 + turn AS doc_id, conv_id, turn, role, coalesce(text, '') AS text FROM conversations",
     "pages": "SELECT page_id AS doc_id, trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^<>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM pages",
 }
 
@@ -138,8 +139,47 @@ _SENTIMENT = [
     "sen_mood AS (SELECT doc_id, s, greatest(-2, least(2, sum(mood)))::INT AS mood FROM moods GROUP BY doc_id, s)",
 ]
 
-STEPS = {"sen": _SENTENCES, "tagged": _TAGS, "ann": _LEMMAS, "men": _NER, "sen_mood": _SENTIMENT}
-_NEEDS = {"tok": [], "sen": ["sen"], "tagged": ["sen", "tagged"], "ann": ["sen", "tagged", "ann"], "men": ["sen", "tagged", "men"], "sen_mood": ["sen", "tagged", "sen_mood"]}
+_NOUN_TAIL = "('NN', 'NNS', 'NNP', 'NNPS')"
+_RELATIONS = " ".join(f"WHEN {quoted(tag)} THEN {quoted(dep)}" for tag, dep in sy.PREMODIFIERS.items())
+_BEFORE, _AFTER = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING", "ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING"
+#: Dependencies: noun phrases by their ends, the root and its copula by sentence, and the preposition that waits for its object
+#: as the last event before a noun. ``k`` counts a sentence's tokens from 1.
+_DEPENDENCIES = [
+    f"""d1 AS (SELECT *, tag IN {listed(sy.NOUNS)} AS noun, tag IN {listed(sy.VERBS)} AS verb, tag IN {listed(sy.PREMODIFIERS)} AS pre, lead(tag) OVER w AS tag1,
+          tag IN {listed(sy.NOUNS)} AND (tag IN ('PRP', 'EX', 'WP') OR NOT coalesce(lead(tag) OVER w IN {_NOUN_TAIL}, false)) AS ends
+        FROM tagged WINDOW w AS (PARTITION BY doc_id, s ORDER BY k))""",
+    """d2 AS (SELECT * EXCLUDE (next_end, next_other), CASE WHEN noun OR (pre AND next_other % 2 = 1) THEN next_end ELSE 0 END AS noun_end FROM (
+        SELECT *, min(CASE WHEN ends THEN k END) OVER w AS next_end, min(CASE WHEN noun OR NOT pre THEN k * 2 + noun::INT END) OVER w AS next_other
+        FROM d1 WINDOW w AS (PARTITION BY doc_id, s ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)))""",
+    """d3 AS (SELECT doc_id, s, coalesce(max(CASE WHEN k = 1 AND tag = 'VB' THEN 1 END), min(k) FILTER (tag IN ('VBD', 'VBP', 'VBZ')), min(k) FILTER (verb),
+          max(k) FILTER (ends), 1) AS root0, bool_or(verb) AS verbal FROM d2 GROUP BY doc_id, s)""",
+    f"""d4 AS (SELECT d2.doc_id, d2.s, any_value(root0) AS root0, bool_or(verbal AND k = root0 AND l IN {listed(sy.COPULAS)}) AS be,
+          min(k) FILTER (k > root0 AND (ends OR (tag IN ('JJ', 'VBN', 'VBG') AND noun_end = 0))) AS after0, min(k) FILTER (k > root0 AND tag IN ('IN', 'TO')) AS between0
+        FROM d2 JOIN d3 USING (doc_id, s) GROUP BY d2.doc_id, d2.s)""",
+    """d5 AS (SELECT doc_id, s, CASE WHEN moved THEN after0 ELSE root0 END AS root, CASE WHEN moved THEN root0 ELSE 0 END AS copula
+        FROM (SELECT *, be AND after0 IS NOT NULL AND coalesce(between0 > after0, true) AS moved FROM d4))""",
+    """d6 AS (SELECT *, CASE WHEN k = root THEN 'root' WHEN k = copula THEN 'cop' WHEN pre AND noun_end > 0 AND NOT ends THEN 'pre' WHEN ends THEN 'end'
+          WHEN tag IN ('IN', 'TO') THEN 'mark' ELSE 'other' END AS part FROM d2 JOIN d5 USING (doc_id, s))""",
+    """d7 AS (SELECT *, CASE WHEN part = 'end' THEN k * 4 + 1 WHEN part = 'mark' THEN k * 4 + 2
+          WHEN part <> 'pre' AND NOT pre AND tag NOT IN ('IN', 'TO', 'RB') AND NOT ends THEN k * 4 + 3 END AS event FROM d6)""",
+    f"""d8 AS (SELECT *, last_value(event IGNORE NULLS) OVER (PARTITION BY doc_id, s ORDER BY k {_BEFORE}) AS last_event,
+          first_value(event IGNORE NULLS) OVER (PARTITION BY doc_id, s ORDER BY k {_AFTER}) AS next_event FROM d7)""",
+    f"""d9 AS (SELECT *, CASE WHEN part = 'root' THEN 0 WHEN part = 'pre' THEN noun_end WHEN part = 'mark' AND next_event % 4 = 1 THEN next_event // 4
+          WHEN part = 'other' AND tag = 'POS' AND k > 1 THEN k - 1 ELSE root END AS head, CASE
+          WHEN part IN ('root', 'cop') THEN part
+          WHEN part = 'pre' THEN CASE tag {_RELATIONS} END
+          WHEN part = 'end' THEN CASE WHEN last_event % 4 = 2 THEN 'nmod' WHEN k < CASE WHEN copula > 0 THEN copula ELSE root END THEN 'nsubj' ELSE 'dobj' END
+          WHEN part = 'mark' THEN CASE WHEN next_event % 4 = 1 THEN 'case' WHEN tag1 IN {listed(sy.VERBS)} THEN 'mark' ELSE 'prep' END
+          WHEN tag = 'MD' THEN 'aux' WHEN verb AND k < root THEN 'aux' WHEN verb THEN 'conj'
+          WHEN tag IN ('RB', 'RBR', 'RBS', 'WRB') THEN CASE WHEN l IN ('not', 'n''t', 'n’t', 'never') THEN 'neg' ELSE 'advmod' END
+          WHEN tag IN ('JJ', 'JJR', 'JJS') THEN 'acomp' WHEN tag = 'RP' THEN 'prt' WHEN tag = 'CC' THEN 'cc'
+          WHEN tag = 'POS' AND k > 1 THEN 'possessive' WHEN tag = 'POS' THEN 'dep'
+          WHEN NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]') THEN 'punct' ELSE 'dep' END AS dep FROM d8)""",
+    """edges AS (SELECT doc_id, s, k, head, dep, text, tag, i, row_number() OVER (PARTITION BY doc_id, s, head ORDER BY k) - 1 AS child_ord FROM d9)""",
+]
+
+STEPS = {"sen": _SENTENCES, "tagged": _TAGS, "ann": _LEMMAS, "men": _NER, "sen_mood": _SENTIMENT, "edges": _DEPENDENCIES}
+_NEEDS = {"tok": [], "sen": ["sen"], "tagged": ["sen", "tagged"], "ann": ["sen", "tagged", "ann"], "men": ["sen", "tagged", "men"], "sen_mood": ["sen", "tagged", "sen_mood"], "edges": ["sen", "tagged", "edges"]}
 
 
 def chain(table: str, *steps: str, only_whitespace: bool = False) -> str:

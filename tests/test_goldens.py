@@ -329,3 +329,49 @@ def test_stream_counts_like_a_table(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     got = {tuple(r) for r in counted_to_end(spark, str(tmp_path / "in"), "label").collect()}
     assert got == {tuple(r) for r in wordcount.words_by_label(go_words(rows), F.col("label")).collect()} and ("a", "dogs", 1) in got
+
+
+# Token expressions, action groups, rule files and lexicons by path
+
+
+def spans(spark, text, *contents, group="$0"):
+    df = registry.annotate(spark.createDataFrame([(text,)], "text string"), context=registry.create_context("tokenize,sentence,part-of-speech,morphology,named-entity-recognizer"))
+    rules = patterns.rules_of([patterns.Item(c, f"R{i}", is_regexp=True, features={"n": str(i)}, feature_group=group) for i, c in enumerate(contents)])
+    return [(r["begin"], r["end"], r["from"], r["to"]) for r in df.select(patterns.matches(F.col("tokens"), rules).alias("m")).first()["m"]]
+
+
+def test_token_expressions(spark):
+    text = "a b b c. b c a b d e"
+    assert [x[:2] for x in spans(spark, text, "/a/ /b/+")] == [(0, 3), (7, 9)]
+    assert [x[:2] for x in spans(spark, text, "/a/ /b/{2} /c/?")] == [(0, 4)]
+    assert [x[:2] for x in spans(spark, text, "/c/ []* /b/")] == [(6, 9)]  # no match crosses a sentence
+    assert [x[:2] for x in spans(spark, text, '/c/ [!{word:"b"}]')] == [(3, 5), (6, 8)]
+    assert [x[:2] for x in spans(spark, text, '(/d/ | /b/ /c/) /e/?')] == [(2, 4), (5, 7), (9, 11)]
+    assert [x[:2] for x in spans(spark, text, '[{word:"d"} | {word:"e"}]')] == [(9, 10), (10, 11)]
+    assert [x[:2] for x in spans(spark, text, '[{word:/[a-c]/} & !{word:"b"}] [{word:/.*/;word:"b"}]*')] == [(0, 3), (3, 4), (6, 7), (7, 9)]
+    assert spans(spark, text, "/a/ (/b/+) /c/?", group="$1") == [(0, 4, 1, 3), (7, 9, 8, 9)]
+    assert spans(spark, text, "/a/ (?$x /b/+?) ", group="$x") == [(0, 2, 1, 2), (7, 9, 8, 9)]
+    assert spans(spark, text, "/a/?") == [(0, 1, 0, 1), (7, 8, 7, 8)] and spans(spark, "", "/a/+") == []
+    for bad in ("/a/ (", "[{word:/a/]", "/a/ )", "", "|", "[{word}]", "/a/ | "):
+        with pytest.raises(ValueError):
+            patterns.rule_of(bad, "X", None, {})
+    with pytest.raises(ValueError):
+        patterns.rule_of("((/a/) /b/)+", "X", None, {}, "$2")
+
+
+def test_rule_files_and_lexicons_by_path(spark, tmp_path):
+    item = patterns.Item('([{word:"x"}]) ([{word:/y+/}])+', "XY", id=4, features={"k": "v"}, is_regexp=True, feature_group="$1")
+    assert patterns.parse_rule(patterns.format_rule(item)).group == "$1"
+    rules.write_rules(spark, [item], f"{tmp_path}/a.rules", f"{tmp_path}/a.features")
+    (tmp_path / "tags.tsv").write_text("# own tags\nzorp\tFW\n")
+    (tmp_path / "names.tsv").write_text("zorp\tGADGET\n")
+    spark.conf.set("spark.lexigrove.resources", str(tmp_path))
+    try:
+        config = f'tokenize,sentence,part-of-speech("tags.tsv"),morphology,named-entity-recognizer(["names.tsv"]),token-regex(["{tmp_path}/a.rules"])'
+        row = registry.annotate(spark.createDataFrame([("x y yy zorp",)], "text string"), context=registry.create_context(config)).first()
+    finally:
+        spark.conf.unset("spark.lexigrove.resources")
+    assert [t["tok_re_ner_tag"] for t in row["tokens"]] == ["XY", "XY", "XY", None]
+    assert [t["tok_re_ner_features"] for t in row["tokens"]] == [{"k": "v"}, None, None, None]
+    assert row["tok_re_mentions"][0]["tok_re_ner_features"] == {"k": "v"} and row["tok_re_mentions"][0]["text"] == "x y yy"
+    assert (row["tokens"][3]["pos_tag"], row["tokens"][3]["ner_tag"]) == ("FW", "GADGET")

@@ -21,6 +21,10 @@ def db():
     return con
 
 
+#: The tables' invented words name nobody that a pronoun could stand for.
+EMPTY = {"coref_chains"}
+
+
 def rows(names, data):
     order = sorted(range(len(names)), key=lambda i: names[i])
     tidy = lambda x: round(x, 6) if isinstance(x, float) and not math.isnan(x) else x
@@ -39,4 +43,12 @@ def test_equals_oracle(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE)))
 def test_runs_without_oracle(spark, name):
     made = catalogue.QUERIES[name](spark, SF)
-    assert made.columns and made.count() >= 0
+    found = made.collect()
+    assert made.columns and (found or name in EMPTY)
+    if name == "parse_tree_nodes":
+        known = {(r["conv_id"], r["turn"], r["sent_index"], r["node_id"]): r for r in found}
+        for r in found:
+            above = known.get((r["conv_id"], r["turn"], r["sent_index"], r["parent_id"]))
+            assert (r["label"] == "ROOT") == (above is None) and r["b"] < r["e"]
+            assert above is None or (above["node_id"] < r["node_id"] and above["b"] <= r["b"] and r["e"] <= above["e"])
+            assert r["token_index"] is None or (r["b"], r["e"]) == (r["token_index"] - 1, r["token_index"])
