@@ -231,5 +231,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
 
     text, whole = pa.string(), pa.int64()
     kinds = pa.schema(list(zip(names, [whole, text, text, text, whole, whole, pa.binary()], strict=True)))
-    return manifest.select("path", "records").repartition("path").mapInArrow(read, schema)
+    # with a number, so that a small manifest is not put together into one task
+    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, manifest.count() // 16)
+    return manifest.select("path", "records").repartition(tasks, "path").mapInArrow(read, schema)
 
