@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexigrove.llm.common import free_name
+
 THRESHOLD = 0.25
 ROOT_SHARE = 0.5
 PROSE = 160  # the ratio of leaves of 80 characters and one mark
@@ -337,7 +339,7 @@ def main_text(page: str) -> str:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with text and n_chars, without the html."""
     kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    rows = pages.select(*kept, F.coalesce(F.col(html_col), F.lit("")).alias("h_html"))
+    rows = pages.select(*kept, F.coalesce(F.col(html_col), F.lit("")).alias(free_name(kept, "h_html")))
     schema = T.StructType([*rows.select(*kept).schema, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):

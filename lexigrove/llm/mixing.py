@@ -11,7 +11,8 @@ whole source, however hot.
 
 Defined results: null text counts as empty (size 0); a null source is a source of its own and comes last; a null id has
 a fixed key; repeated rows are mixed as separate documents; a source of size 0 has target 0; an empty table gives an
-empty result. Added columns replace input columns of the same name.
+empty result; a very long text counts like any other. Added columns replace input columns of the same name; no other name can
+clash, but ``quality`` and ``size`` may not be made of columns named in ``INTERNAL``.
 """
 
 from __future__ import annotations
@@ -19,8 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrove.llm.common import free_name
+
 #: Ranges of the key within a source; each holds about a 1024th of the source.
 BUCKETS = 1024
+#: Columns that come and go on the way; those of the input with such a name are renamed meanwhile.
+INTERNAL = {"m_null", "m_src", "m_key", "m_bucket", "m_size", "m_base", "m_before"}
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -71,6 +76,9 @@ def mix_sources(
     ``quality``: a positive weight column; a heavier document comes earlier in its source. ``size``: a document's words
     if already counted (before a join, so that it shuffles no texts). Columns that the caller does not use are pruned.
     """
+    clash = {c: free_name(docs.columns, f"in_{c}") for c in docs.columns if c.lower() in INTERNAL}
+    docs = docs.withColumnsRenamed(clash)
+    id_col, text_col, source_col = (clash.get(c, c) for c in (id_col, text_col, source_col))
     weight = F.lit(1.0) if quality is None else F.coalesce(quality.cast("double"), F.lit(1.0))
     keyed = docs.withColumns(
         {
@@ -96,7 +104,8 @@ def mix_sources(
     rest = F.floor(F.col("target") - full * F.col("source_size") + 0.5).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("m_before")))
     taken = (full * F.col("size") + part).cast("long")
-    return placed.withColumn("taken", taken).drop(*by, "m_key", "m_base", "m_before")
+    out = placed.withColumn("taken", taken).drop(*by, "m_key", "m_base", "m_before")
+    return out.withColumnsRenamed({new: old for old, new in clash.items()})
 
 
 #: A document's weight by its label: 1 good, 0 poor, none unknown.

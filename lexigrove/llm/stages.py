@@ -47,15 +47,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The mix is made of ids, sources and sizes; texts are shuffled once, to meet their numbers of copies. Equal rows are
     told apart by nothing, so one of them stands for the copies of all.
     """
-    keyed = docs.withColumns({"m_row": F.xxhash64(*docs.columns), "m_id": F.coalesce("doc_id", F.lit(0))})
-    light = keyed.select("doc_id", "source", "m_row", "m_id", mixing.word_count(F.col("text")).alias("m_words"))
+    row, key, one, copy = (free_name(docs.columns, x) for x in ("m_row", "m_id", "m_one", "m_copy"))
+    keyed = docs.withColumns({row: F.xxhash64(*docs.columns), key: F.coalesce("doc_id", F.lit(0))})
+    light = keyed.select("doc_id", "source", F.col(row).alias("row"), F.col(key).alias("key"), mixing.word_count(F.col("text")).alias("words"))
     sized = mixing.with_quality(light, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    mixed = mixing.mix_sources(sized, quality=F.col("m_quality"), size=F.col("m_words"))
+    mixed = mixing.mix_sources(sized, text_col="source", quality=F.col("m_quality"), size=F.col("words"))
     copies = F.floor(F.coalesce(F.try_divide("taken", "size"), F.lit(0.0)) + 0.5).cast("int")
-    taken = staged(mixed.groupBy("m_id", "m_row").agg(F.sum(copies).cast("int").alias("m_copies")).where("m_copies > 0"), "mixed")
-    one = F.row_number().over(Window.partitionBy("m_id", "m_row").orderBy("m_row"))
-    found = keyed.join(taken, ["m_id", "m_row"]).withColumn("m_one", one).where("m_one = 1")
-    return found.select(*docs.columns, F.explode(F.array_repeat(F.lit(True), F.col("m_copies"))).alias("m_copy")).drop("m_copy")
+    taken = mixed.groupBy("key", "row").agg(F.sum(copies).cast("int").alias("copies")).where("copies > 0")
+    taken = staged(taken.select(F.col("key").alias(key), F.col("row").alias(row), F.col("copies").alias(copy)), "mixed")
+    number = F.row_number().over(Window.partitionBy(key, row).orderBy(row))
+    found = keyed.join(taken, [key, row]).withColumn(one, number).where(F.col(one) == 1)
+    return found.select(*docs.columns, F.explode(F.array_repeat(F.lit(True), F.col(copy))).alias(one)).drop(one)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str | None = None) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 from test_dedup import passages_removed
 from test_operators import SF, documents, odd_documents
 
-from lexigrove.llm import near_dup, queries, stages, unit_dedup
+from lexigrove.llm import html_text, mixing, near_dup, queries, stages, unit_dedup
 
 
 def test_stages_keep_columns_and_survive_odd_rows(spark):
@@ -18,6 +19,18 @@ def test_stages_keep_columns_and_survive_odd_rows(spark):
     assert stages.encode(spark, docs, SF).count() == docs.count()
 
 
+def test_clashing_names(spark):
+    names = ["m_key", "m_null", "m_row", "m_id", "m_copy", "m_one", "M_BASE", "id", "text_hash", "h_html", "hash", "spans"]
+    docs = odd_documents(spark).withColumns({x: F.lit(x) for x in names})
+    for stage in (stages.near_dedup, stages.substring_dedup, stages.mix):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.where("m_key <> 'm_key' OR M_BASE <> 'M_BASE'").count() == 0
+    mixed = mixing.mix_sources(docs)
+    assert set(docs.columns) <= set(mixed.columns) and mixed.count() == docs.count()
+    pages = docs.withColumnRenamed("text", "html").withColumns({"page_id": F.col("doc_id"), "url": F.lit("u")})
+    assert html_text.extract(pages).count() == docs.count()
+
+
 def test_pipeline_against_brute_force(spark):
     import sentencepiece
 
