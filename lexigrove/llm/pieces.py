@@ -25,7 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexigrove.llm.common import give_back, sliced
+
 MARK = "▁"
+#: Texts become Python objects in slices of so many rows and, but for single texts, bytes at most.
+SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
 NEVER = np.iinfo(np.int64).max
 
 
@@ -157,19 +161,19 @@ class Pairs:
 class Matcher:
     """Encodes and decodes with a vocabulary; remembers the ids of cuts."""
 
-    MOST, BLOCK = 200_000, 1 << 18
+    MOST, BLOCK = 200_000, 1 << 17
 
     def __init__(self, vocabulary: Vocabulary):
         v = self.v = vocabulary
         found = [i for i in range(v.unknown) if v.usable[i]]
         found.sort(key=lambda i: v.pieces[i])
-        self.ids = np.array(found, np.int64)
+        self.ids = np.array(found, np.int32)
         self.size = np.array([len(v.pieces[i]) for i in found], np.int64)
         self.deepest = int(self.size.max(initial=1))
-        self.chars = np.zeros((len(found), self.deepest), np.int64)
+        self.chars = np.zeros((len(found), self.deepest), np.int32)
         for row, i in enumerate(found):
             self.chars[row, : self.size[row]] = [ord(c) for c in v.pieces[i]]
-        self.length = np.ones(v.unknown + 1, np.int64)
+        self.length = np.ones(v.unknown + 1, np.int32)
         self.length[self.ids] = self.size
         # cuts with their ids, in two generations: the older one goes when the younger one is full, what is used moves up
         self.known: dict[str, bytes] = {}
@@ -202,7 +206,7 @@ class Matcher:
         """(begin, piece) of every occurrence of every piece."""
         order = suffix_array(text, self.deepest)
         n = len(text)
-        ended = np.r_[text, np.full(self.deepest, -1)]
+        ended = np.r_[text, np.full(self.deepest, -1, np.int32)]
         live = np.arange(len(self.ids))
         low, high = np.zeros(len(live), np.int64), np.full(len(live), n, np.int64)
         begins, which = [], []
@@ -214,7 +218,7 @@ class Matcher:
             full = self.size[live] == depth + 1
             count = high[full] - low[full]
             at = np.repeat(low[full] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-            begins.append(order[at])
+            begins.append(order[at].astype(np.int32))
             which.append(np.repeat(self.ids[live[full]], count))
             live, low, high = live[~full], low[~full], high[~full]
             if not len(live):
@@ -242,7 +246,7 @@ class Matcher:
         for i in np.flatnonzero(odd):
             good[i] = self._by_merging(int(a[i]), int(b[i]))
         at = np.flatnonzero(~good & ~odd)
-        a, b, limit = a[at], b[at], np.full(len(at), NEVER)
+        a, b, limit = a[at].astype(np.int64), b[at].astype(np.int64), np.full(len(at), NEVER)
         while len(at):
             key = a * (n + 1) + b
             rank = self.pairs(key)
@@ -277,16 +281,16 @@ class Matcher:
 
     def _learn(self, cuts: list[str]) -> None:
         v = self.v
-        text = np.frombuffer(("\x00".join(cuts) + "\x00").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        text = np.frombuffer(("\x00".join(cuts) + "\x00").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
         sizes = np.array([len(c) for c in cuts], np.int64)
-        starts = np.cumsum(sizes + 1) - sizes - 1
-        owner = np.repeat(np.arange(len(cuts)), sizes + 1)
+        starts = (np.cumsum(sizes + 1) - sizes - 1).astype(np.int32)
+        owner = np.repeat(np.arange(len(cuts), dtype=np.int32), sizes + 1)
         begin, piece = self.edges(text)
         covered = np.zeros(len(text), bool)
         covered[begin[self.length[piece] == 1]] = True
         covered[starts + sizes] = True  # the ends are no characters
-        lone = np.flatnonzero(~covered)
-        begin, piece = np.r_[begin, lone], np.r_[piece, np.full(len(lone), v.unknown)]
+        lone = np.flatnonzero(~covered).astype(np.int32)
+        begin, piece = np.r_[begin, lone], np.r_[piece, np.full(len(lone), v.unknown, np.int32)]
         end = begin + self.length[piece]
         inside = end <= (starts + sizes)[owner[begin]]
         begin, piece, end = begin[inside], piece[inside], end[inside]
@@ -296,7 +300,7 @@ class Matcher:
         turns = np.r_[0, np.flatnonzero(np.diff(depth)) + 1, len(depth)]
         first = np.zeros(len(text) + 1, bool)
         first[starts] = True
-        last = np.full(len(text) + 1, -1, np.int64)
+        last = np.full(len(text) + 1, -1, np.int32)
         for x, y in zip(turns[:-1], turns[1:], strict=True):
             b, p, e = begin[x:y], piece[x:y], end[x:y]
             good = first[b]
@@ -365,12 +369,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> D
     def run(batches):
         matcher = matcher_of(sent.value)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for part in sliced(batch, at, SLICE_BYTES, SLICE_ROWS):
                 found = matcher.encode(part.column(at).to_pylist())
                 offsets = pa.array(np.r_[0, np.cumsum([len(x) // 4 for x in found])].astype(np.int32))
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(found), "<i4")))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*columns, "ids"])
+        give_back()
 
     return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
@@ -401,14 +405,14 @@ def with_round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataF
     def run(batches):
         matcher = matcher_of(sent.value)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for part in sliced(batch, 0, SLICE_BYTES, SLICE_ROWS):
                 texts = part.column(0).to_pylist()
                 found = matcher.encode(texts)
                 same = [matcher.decode(np.frombuffer(x, "<i4").tolist()) == (t or "") for x, t in zip(found, texts, strict=True)]
                 offsets = pa.array(np.r_[0, np.cumsum([len(x) // 4 for x in found])].astype(np.int32))
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(found), "<i4")))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], ids, pa.array(same, pa.bool_())], [*columns, "ids", "round_trip"])
+        give_back()
 
     schema = docs.select(*columns).schema.add("ids", T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType())
     return docs.select(text_col, *columns).mapInArrow(run, schema)
