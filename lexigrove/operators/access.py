@@ -5,6 +5,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,6 +119,21 @@ def overlapping_mentions(found: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, on).select(*[F.col(f"a.{k}") for k in keys], F.col("a.mention_id").alias("a_id"), F.col("b.mention_id").alias("b_id"))
 
 
+def overlap_count(spans: Column) -> Column:
+    """Pairs of an array of ranges that overlap (ends count), as long: those that begin by a range's end, less those that have
+    ended before its begin, so no pair is formed."""
+
+    @F.arrow_udf("bigint")
+    def run(spans: pa.Array) -> pa.Array:
+        flat, sizes = spans.flatten(), pc.fill_null(pc.list_value_length(spans), 0)
+        row = np.repeat(np.arange(len(spans)), np.asarray(sizes))
+        begin, end = (np.asarray(flat.field(k)).astype(np.int64) + (row << 32) for k in ("begin", "end"))
+        met = np.searchsorted(np.sort(begin), end, "right") - np.searchsorted(np.sort(end), begin, "left") - 1
+        return pa.array(np.bincount(row, met, len(spans)).astype(np.int64) // 2)
+
+    return run.asNondeterministic()(spans)
+
+
 def with_words(tokens: DataFrame, words: DataFrame, column: str = "word", how: str = "left_semi") -> DataFrame:
     """Tokens whose lower-cased text is in a table of words (``left_semi``), or is not (``left_anti``)."""
     return tokens.join(words, F.lower(tokens["text"]) == words[column], how)

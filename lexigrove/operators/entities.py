@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions.arrays import at, let
 from lexigrove.functions.ranges import range_of
+from lexigrove.operators import chains
 from lexigrove.operators.morphology import label_in
 
 MONTHS = "january february march april may june july august september october november december".split()
@@ -61,6 +62,8 @@ def normalized(text: Column, ner_tag: Column) -> Column:
 def recognize_entities(df: DataFrame, text_col: str = "text", lexicon: dict[str, str] | None = None) -> DataFrame:
     """Tokens get ner_tag, entity_type and normalized_tag; ``mentions`` is added. Runs after part-of-speech tagging. Words of a
     lexicon of one's own have its tag."""
+    if (out := chains.extended(df, "ner", lexicon, text_col=text_col)) is not None:
+        return out
     own = label_in(lexicon)
 
     def one(ts: Column) -> Column:
@@ -81,6 +84,14 @@ def recognize_entities(df: DataFrame, text_col: str = "text", lexicon: dict[str,
     return out.withColumn("mentions", mentions_of(F.col("tokens"), F.col(text_col), "ner_tag"))
 
 
+def without_entities(df: DataFrame) -> DataFrame:
+    """Tokens get an ``ner_tag`` of ``O`` and no normalized_tag, which mentions of patterns carry."""
+    if (out := chains.extended(df, "blank")) is not None:
+        return out
+    blank = lambda t: t.withField("ner_tag", F.lit("O")).withField("normalized_tag", F.lit(None).cast("string"))
+    return df.withColumn("tokens", F.transform("tokens", blank))
+
+
 def mentions_of(tokens: Column, text: Column, field: str, extra: tuple[str, ...] = ()) -> Column:
     """Runs of tokens in a sentence whose ``field`` is equal, neither null nor ``O``, as mentions in order.
 

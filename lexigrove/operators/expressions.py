@@ -18,7 +18,7 @@ from lexigrove.functions.arrays import at, let, running_sum
 
 #: Tests in one expression; a letter stands for each of the 2 ** MOST_TESTS sets at most.
 MOST_TESTS = 10
-_FIRST_LETTER = 0x4E00
+FIRST_LETTER = 0x4E00
 _QUANTIFIER = re.compile(r"([?*+]|\{\d+(?:,\d*)?\})([?+]?)")
 _GROUP_NAME = re.compile(r"\?\$?<?(\w+)>?\s")
 
@@ -161,7 +161,7 @@ def _letters(node, tests: list) -> str:
     if not good:
         return "(?!)"
     runs = [[n for _, n in g] for _, g in groupby(enumerate(good), lambda x: x[1] - x[0])]
-    return "[" + "".join(f"{chr(_FIRST_LETTER + r[0])}-{chr(_FIRST_LETTER + r[-1])}" for r in runs) + "]"
+    return "[" + "".join(f"{chr(FIRST_LETTER + r[0])}-{chr(FIRST_LETTER + r[-1])}" for r in runs) + "]"
 
 
 def _pattern(node, tests: list) -> str:
@@ -177,7 +177,7 @@ def _pattern(node, tests: list) -> str:
     return f"(?:{_pattern(node[2], tests)})"
 
 
-def _three(node, group: str, tests: list) -> tuple[str, str, str]:
+def parts(node, group: str, tests: list) -> tuple[str, str, str]:
     """Patterns before, in and after a group, which stands in the outermost sequence."""
     name = group.lstrip("$")
     if name == "0":
@@ -193,14 +193,14 @@ def check(node, group: str) -> None:
     """Raises ValueError if the expression cannot be matched."""
     if len(dict.fromkeys(tests_of(node))) > MOST_TESTS:
         raise ValueError(f"more than {MOST_TESTS} different tests in a pattern")
-    _three(node, group, list(dict.fromkeys(tests_of(node))))
+    parts(node, group, list(dict.fromkeys(tests_of(node))))
 
 
 def places(tokens: Column, node, group: str, number: int, holds) -> Column:
     """All matches: ``array<struct<begin, less, rule, end, from, to>>``; [from, to) is the group. ``holds(token, test)``: a condition."""
     tests = list(dict.fromkeys(tests_of(node)))
-    letters = F.array(*[F.lit(chr(_FIRST_LETTER + n)) for n in range(1 << len(tests))])
-    before, inside, after = _three(node, group, tests)
+    letters = F.array(*[F.lit(chr(FIRST_LETTER + n)) for n in range(1 << len(tests))])
+    before, inside, after = parts(node, group, tests)
 
     def written(ts: Column) -> Column:
         def of(t: Column, i: Column) -> Column:

@@ -13,6 +13,7 @@ from lexigrove.defaults import EMPTY, NONE_LABEL
 from lexigrove.functions.arrays import at, count_if, first, last, let, ratio
 from lexigrove.functions.strings import feature_name, java_hash
 from lexigrove.functions.tags import TAG_TYPES, pos_tag_or_none, pos_tag_type, pos_tags
+from lexigrove.operators import chains
 
 
 def numeric(name: str, whole: bool = False) -> T.StructField:
@@ -36,6 +37,19 @@ def pos_features(tokens: Column) -> dict[str, Column]:
     return out
 
 
+def pos_features_of(df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """A table and :func:`pos_features` of its rows; where annotators run together, from counts made there."""
+    out = chains.extended(df, "stats")
+    if out is None:
+        return df, pos_features(F.col("tokens"))
+    made, x = {}, first(F.col("pos_stats"))
+    for kind in TAG_TYPES:
+        made[feature_name("pos-tag-count", kind)] = x[kind].cast("long")
+        made[feature_name("pos-tag-ratio", kind)] = ratio(x[kind], x["n"])
+    made["pos_first_tag"], made["pos_last_tag"] = pos_tag_or_none(x["first"]), pos_tag_or_none(x["last"])
+    return chains.only(out, "pos_stats"), made
+
+
 def pos_feature_metas() -> T.StructType:
     tags = [NONE_LABEL, *pos_tags()]
     counts = [f for kind in TAG_TYPES for f in (numeric(feature_name("pos-tag-count", kind), True), numeric(feature_name("pos-tag-ratio", kind)))]
@@ -46,7 +60,7 @@ def elected_verb(tokens: Column, root: Column | None = None) -> Column:
     """The first token in lower case if it is a base verb, else the root of the dependencies if it is one."""
     own = F.when(first(tokens)["pos_tag"] == "VB", F.lower(first(tokens)["text"]))
     if root is not None:
-        own = F.coalesce(own, F.when(root["pos_tag"] == "VB", F.lower(root["text"])))
+        own = F.coalesce(own, let(root, lambda r: F.when(r["pos_tag"] == "VB", F.lower(r["text"]))))
     return F.coalesce(own, F.lit(NONE_LABEL))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexigrove import defaults
 from lexigrove.functions.arrays import at, let
+from lexigrove.operators import chains
 
 #: (tag, tokens): by exact form.
 SIGNS = [
@@ -180,6 +181,8 @@ def contextual_tag(tag: Column, before: Column, word: Column, word_before: Colum
 def tag_parts_of_speech(df: DataFrame, lexicon: dict[str, str] | None = None) -> DataFrame:
     """Tokens get ``pos_tag``. Runs after sentence splitting. Words of a lexicon of one's own have its tag, before corrections
     by context."""
+    if (out := chains.extended(df, "tag", lexicon)) is not None:
+        return out
     own = label_in(lexicon)
     tagged = F.transform("tokens", lambda t: t.withField("pos_tag", F.coalesce(own(t["text"]), base_tag(t["text"], t["token_index"] == 1))))
 
@@ -221,12 +224,16 @@ def lemma_of(text: Column, tag: Column) -> Column:
 
 
 def add_lemmas(df: DataFrame) -> DataFrame:
+    if (out := chains.extended(df, "lemma")) is not None:
+        return out
     return df.withColumn("tokens", F.transform("tokens", lambda t: t.withField("lemma", lemma_of(t["text"], t["pos_tag"]))))
 
 
 def flag_stop_words(df: DataFrame, lang: str = "en", words: list[str] | None = None) -> DataFrame:
     """Tokens get ``stopword`` (by form) and ``stoplemma`` (by lemma)."""
     listed = words if words is not None else defaults.STOP_WORDS.get(lang, [])
+    if (out := chains.extended(df, "stop", frozenset(listed))) is not None:
+        return out
     is_stop = lambda c: F.lower(c).isin(*listed) if listed else F.lit(False)
     flags = lambda t: t.withField("stopword", is_stop(t["text"])).withField("stoplemma", is_stop(t["lemma"]))
     return df.withColumn("tokens", F.transform("tokens", flags))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.functions.arrays import at, drop_take, first, let
-from lexigrove.operators import expressions
+from lexigrove.operators import batch_rules, chains, expressions
 from lexigrove.operators.entities import mentions_of
 
 # The characters that a literal inside a regular expression escapes.
@@ -277,6 +277,9 @@ def match_patterns(df: DataFrame, rules: list[Rule], text_col: str = "text") ->
 
     Called again with other rules, it sees and keeps what earlier ones set, where its own do not match.
     """
+    if rules and {"ner", "blank"} & set(chains.steps(df)) and batch_rules.fits(rules, chains.steps(df)):
+        if (out := chains.extended(df, "tre", rules, text_col=text_col)) is not None:
+            return out
     earlier = "tok_re_ner_tag" in df.schema["tokens"].dataType.elementType.names
     strings = lambda rows: F.array(*[F.lit(x) for x in rows]) if rows else F.array().cast("array<string>")
     grouped = any(r.group != "$0" for r in rules)
@@ -321,5 +324,13 @@ def match_patterns(df: DataFrame, rules: list[Rule], text_col: str = "text") ->
     return out.withColumn("tok_re_mentions", with_features)
 
 
+def kept_matches(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``df`` with ``t_kept``, what :func:`matches` gives."""
+    if rules and batch_rules.fits(rules, chains.steps(df)):
+        if (out := chains.extended(df, "kept", rules)) is not None:
+            return out
+    return df.withColumn("t_kept", matches(F.col("tokens"), rules))
+
+
 def features_json(items: list[Item]) -> str:
     return json.dumps(feature_values(items))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions.arrays import first, last, let
 from lexigrove.functions.ranges import RANGE, range_of
+from lexigrove.operators import chains
 from lexigrove.operators.syntax import FRAMES, VERBS
 
 #: From a dependency relation to (label of the argument, its function).
@@ -69,6 +70,8 @@ def zip_roles(tokens: Column, nodes: Column) -> Column:
 
 def label_roles(df: DataFrame, lang: str = "en") -> DataFrame:
     """Tokens get ``srl``. Needs lemmas and ``dependency_edges``."""
+    if (out := chains.extended(df, "srl")) is not None:
+        return out
     noded = df.withColumn("r_nodes", role_nodes(F.col("tokens"), F.col("dependency_edges")))
     return noded.withColumn("tokens", zip_roles(F.col("tokens"), F.col("r_nodes"))).drop("r_nodes")
 
@@ -95,6 +98,16 @@ def join_heads(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.join(above, [*on, "head_id"], "left")
 
 
+def role_heads(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, dependency_label, head_propbank) of each role node of annotated rows, without a join."""
+    from lexigrove.operators.tokens import elements, exploded
+
+    out = chains.extended(df, "heads")
+    if out is None:
+        return join_heads(exploded(df, *keys).select(*keys, "sent_index", "srl.*"), list(keys)).select(*keys, "dependency_label", "head_propbank")
+    return elements(chains.only(out, "role_heads"), "role_heads", *keys).select(*keys, "x.*")
+
+
 MALE, FEMALE, NEUTRAL, PLURAL = ("he", "him", "his", "himself"), ("she", "her", "hers", "herself"), ("it", "its", "itself"), ("they", "them", "their")
 SPEAKER = ("i", "me", "my", "myself")
 COREF = f"struct<id:int,mention:array<struct<sent_index:int,token_range:{RANGE},head_index:int,gender:string,animacy:string,type:string,number:string>>>"

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexigrove import defaults
 from lexigrove.functions.arrays import at, let, running_sum
 from lexigrove.functions.ranges import range_of
+from lexigrove.operators import chains
 
 
 def _spans(text: Column, pattern: str, clitics: bool) -> Column:
@@ -55,7 +56,7 @@ def token_array(text: Column, only_whitespace: bool = False) -> Column:
 
 def tokenize(df: DataFrame, text_col: str = "text", lang: str = "en", only_whitespace: bool = False) -> DataFrame:
     """``df`` with ``tokens``. ``lang`` is kept for annotators that look up words; the pattern serves all languages."""
-    return df.withColumn("tokens", token_array(F.col(text_col), only_whitespace))
+    return chains.begun(df, text_col, only_whitespace)
 
 
 def _classes(tokens: Column) -> Column:
@@ -85,6 +86,8 @@ def sentence_sizes(tokens: Column) -> Column:
 def split_sentences(df: DataFrame) -> DataFrame:
     """Tokens get sent_index (from 0), token_index (from 1 in the sentence) and index_range; ``sents`` lists sentences with
     their text and token range. Runs after :func:`tokenize`."""
+    if (out := chains.extended(df, "sen")) is not None:
+        return out
     sized = df.withColumn("s_sizes", sentence_sizes(F.col("tokens")))
     numbers = lambda n, s: F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(s.alias("s"), k.alias("k")))
     places = F.flatten(F.transform(F.col("s_sizes"), numbers))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexigrove.functions import tags as tg
 from lexigrove.functions.arrays import at, count_if, cut_of, let, settled, stretches
 from lexigrove.functions.ranges import in_range, overlaps, range_of
-from lexigrove.operators import access, entities, features, morphology, patterns, roles, sentiment, syntax, tokens, wordcount
+from lexigrove.operators import access, chains, entities, features, morphology, patterns, roles, sentiment, syntax, tokens, wordcount
 from lexigrove.plans import oracles as o
 from lexigrove.plans.oracles import chain
 from lexigrove.sources.utterances import table
@@ -127,7 +127,7 @@ def sentence_split(spark, sf_dir):
     SELECT doc_id, count(*)::BIGINT AS n_sents, min(n)::BIGINT AS shortest, max(n)::BIGINT AS longest FROM sizes GROUP BY doc_id""",
 )
 def sentence_lengths(spark, sf_dir):
-    df = annotated(spark, sf_dir, "documents", "sen")
+    df = chains.only(annotated(spark, sf_dir, "documents", "sen"), "sents")
     sizes = F.transform("sents", lambda s: long_(s["token_range"]["end"] - s["token_range"]["begin"]))
     out = df.select("doc_id", settled(sizes).alias("sizes")).where(F.size("sizes") > 0)
     return out.select("doc_id", long_(F.size("sizes")).alias("n_sents"), F.array_min("sizes").alias("shortest"), F.array_max("sizes").alias("longest"))
@@ -182,19 +182,19 @@ def page_text_tokens(spark, sf_dir):
     chain("documents", "tagged") + " SELECT doc_id, count(*)::BIGINT AS n_tokens, md5(string_agg(tag, ' ' ORDER BY i)) AS digest FROM tagged GROUP BY doc_id",
 )
 def pos_tag(spark, sf_dir):
-    df = nonempty(annotated(spark, sf_dir, "documents", "sen", "tag"))
+    df = nonempty(chains.only(annotated(spark, sf_dir, "documents", "sen", "tag"), "tokens", fields=("pos_tag",)))
     return df.select("doc_id", long_(F.size("tokens")).alias("n_tokens"), digest(field("pos_tag")).alias("digest"))
 
 
 @query("pos_description", chain("documents", "tagged") + f" SELECT tag, {o.tag_description('tag')} AS description, count(*)::BIGINT AS n FROM tagged GROUP BY tag")
 def pos_description(spark, sf_dir):
-    df = tokens.exploded(annotated(spark, sf_dir, "documents", "sen", "tag"), "doc_id")
+    df = tokens.exploded(chains.only(annotated(spark, sf_dir, "documents", "sen", "tag"), "tokens", fields=("pos_tag",)))
     return df.groupBy(F.col("pos_tag").alias("tag")).agg(F.count("*").alias("n")).withColumn("description", tg.pos_description(F.col("tag")))
 
 
 @query("pos_tag_type", chain("documents", "tagged") + f" SELECT {o.tag_type('tag')} AS kind, count(*)::BIGINT AS n FROM tagged GROUP BY 1")
 def pos_tag_type(spark, sf_dir):
-    df = tokens.exploded(annotated(spark, sf_dir, "documents", "sen", "tag"), "doc_id")
+    df = tokens.exploded(chains.only(annotated(spark, sf_dir, "documents", "sen", "tag"), "tokens", fields=("pos_tag",)))
     return df.groupBy(tg.pos_tag_type(F.col("pos_tag")).alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -213,13 +213,13 @@ def _pos_sql(table_name: str) -> str:
 
 @query("pos_features", _pos_sql("documents").replace("'<none>') AS pos_first_tag", "'<none>') AS pos_first_tag"))
 def pos_features(spark, sf_dir):
-    df = annotated(spark, sf_dir, "documents", "sen", "tag")
-    return features.select_features(df, ["doc_id"], features.pos_features(F.col("tokens")), features.pos_feature_metas())
+    df, made = features.pos_features_of(annotated(spark, sf_dir, "documents", "sen", "tag"))
+    return features.select_features(df, ["doc_id"], made, features.pos_feature_metas())
 
 
 @query("lemma", chain("documents", "ann") + " SELECT doc_id, count(*)::BIGINT AS n_tokens, md5(string_agg(lemma, ' ' ORDER BY i)) AS digest FROM ann GROUP BY doc_id")
 def lemma(spark, sf_dir):
-    df = nonempty(annotated(spark, sf_dir, "documents", "sen", "tag", "lemma"))
+    df = nonempty(chains.only(annotated(spark, sf_dir, "documents", "sen", "tag", "lemma"), "tokens", fields=("lemma",)))
     return df.select("doc_id", long_(F.size("tokens")).alias("n_tokens"), digest(field("lemma")).alias("digest"))
 
 
@@ -313,7 +313,7 @@ def verb_features(spark, sf_dir):
     SELECT conv_id, turn, elected_verb, ({o.java_hash("elected_verb")})::BIGINT AS elected_verb_id FROM verbs""",
 )
 def verb_features_root(spark, sf_dir):
-    df = annotated(spark, sf_dir, "conversations", "sen", "tag", "dep")
+    df = chains.only(annotated(spark, sf_dir, "conversations", "sen", "tag", "dep"), "tokens", "dependency_edges", fields=("text", "sent_index", "token_index", "pos_tag"))
     root = access.root_dependency(F.col("tokens"), F.col("dependency_edges"))
     return features.select_features(df, ["conv_id", "turn"], features.verb_features(F.col("tokens"), root), features.verb_feature_metas())
 
@@ -331,8 +331,15 @@ def _words_sql(name: str, label: str, join: str = "") -> str:
     return chain(name, "ann") + f", words_of AS (SELECT {label}::VARCHAR AS label, l AS word FROM ann{where})"
 
 
-def _go(spark, sf_dir, name, *more):
-    return annotated(spark, sf_dir, name, "sen", "tag", "lemma", "stop", more=more)
+def _go(spark, sf_dir, name, *more, labels: tuple[str, ...] = ()):
+    """What word counts need. Labels of another table (its name, key and columns) meet the texts, not the annotations."""
+    df = table(spark, sf_dir, name, *KEYS[name], "text", *more)
+    if labels:
+        df = df.join(table(spark, sf_dir, *labels), labels[1])
+    df = tokens.tokenize(df)
+    for step in ("sen", "tag", "lemma", "stop"):
+        df = STEPS[step](df)
+    return chains.only(df, "tokens", fields=("text", "pos_tag", "stopword"))
 
 
 @query("wordcount_by_label", _words_sql("conversations", "role") + " SELECT label, word, count(*)::BIGINT AS n FROM words_of GROUP BY label, word")
@@ -352,7 +359,7 @@ def wordcount_lang(spark, sf_dir):
 
 @query("wordcount_quality", _words_sql("documents", "quality", "JOIN labels USING (doc_id)") + _DIST + " SELECT * FROM dist")
 def wordcount_quality(spark, sf_dir):
-    labelled = _go(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels", "doc_id", "quality"), "doc_id")
+    labelled = _go(spark, sf_dir, "documents", labels=("labels", "doc_id", "quality"))
     return wordcount.feature_stats(labelled, F.col("quality"))[1]
 
 
@@ -496,8 +503,7 @@ tre AS (SELECT doc_id, any_value(s) AS s, min(i)::INT AS tb, max(e)::INT AS te,
 def _matched(spark, sf_dir, name: str, items: list[patterns.Item], *steps: str) -> DataFrame:
     df = annotated(spark, sf_dir, name, "sen", *(steps or ("tag", "lemma")))
     if "ner" not in steps:  # mentions carry an entity tag
-        blank = lambda t: t.withField("ner_tag", F.lit("O")).withField("normalized_tag", F.lit(None).cast("string"))
-        df = df.withColumn("tokens", F.transform("tokens", blank))
+        df = entities.without_entities(df)
     return patterns.match_patterns(df, patterns.rules_of(items))
 
 
@@ -506,7 +512,7 @@ def _matched(spark, sf_dir, name: str, items: list[patterns.Item], *steps: str)
     chain("documents", "sen") + _LITERAL_SQL + " SELECT doc_id, label, item::INT AS item_id, tb AS tok_begin, te AS tok_end FROM tre",
 )
 def tokre_literal(spark, sf_dir):
-    out = _mentions(_matched(spark, sf_dir, "documents", LITERAL_ITEMS), "doc_id", column="tok_re_mentions")
+    out = _mentions(chains.only(_matched(spark, sf_dir, "documents", LITERAL_ITEMS), "tok_re_mentions"), "doc_id", column="tok_re_mentions")
     runs = out.select("doc_id", F.col("tok_re_ner_tag").alias("label"), F.col("tok_re_ner_item_id").alias("item_id"), F.col("token_range.begin").alias("b"), F.col("token_range.end").alias("e"))
     return runs.select("doc_id", "label", "item_id", F.col("b").alias("tok_begin"), F.col("e").alias("tok_end"))
 
@@ -517,7 +523,7 @@ def tokre_literal(spark, sf_dir):
 )
 def tokre_case(spark, sf_dir):
     items = [patterns.Item("The", "SENTENCE_ARTICLE", case_min_tok=0, first_det_chop=False)]
-    out = tokens.exploded(_matched(spark, sf_dir, "documents", items), "doc_id").where("tok_re_ner_tag = 'SENTENCE_ARTICLE'")
+    out = tokens.exploded(_labelled(spark, sf_dir, items), "doc_id").where("tok_re_ner_tag = 'SENTENCE_ARTICLE'")
     return out.groupBy("text").agg(F.count("*").alias("n"))
 
 
@@ -527,7 +533,7 @@ def tokre_case(spark, sf_dir):
 )
 def tokre_lemma(spark, sf_dir):
     items = [patterns.Item('[{lemma:"be"}]', "BE", is_regexp=True)]
-    out = tokens.exploded(_matched(spark, sf_dir, "documents", items), "doc_id").where("tok_re_ner_tag = 'BE'")
+    out = tokens.exploded(_labelled(spark, sf_dir, items), "doc_id").where("tok_re_ner_tag = 'BE'")
     return out.groupBy(F.lower("text").alias("word")).agg(F.count("*").alias("n"))
 
 
@@ -539,10 +545,15 @@ def tokre_lemma(spark, sf_dir):
 )
 def tokre_sequence(spark, sf_dir):
     items = [patterns.Item(r"[{word:/(?i)the|of/}] [{word:/\p{L}+/;tag:/NNS/}]", "PLURAL_PHRASE", is_regexp=True)]
-    out = _mentions(_split_runs(_matched(spark, sf_dir, "documents", items)), "doc_id", column="tok_re_mentions")
+    matched = chains.only(_matched(spark, sf_dir, "documents", items), "tokens", "tok_re_mentions", fields=("char_range",))
+    out = _mentions(_split_runs(matched), "doc_id", column="tok_re_mentions")
     return out.groupBy(F.lower(F.regexp_replace("text", r"[ \t\n\r\x0B\f]+", " ")).alias("phrase")).agg(F.count("*").alias("n"))
 
 
+def _labelled(spark, sf_dir, items) -> DataFrame:
+    return chains.only(_matched(spark, sf_dir, "documents", items), "tokens", fields=("text", "tok_re_ner_tag"))
+
+
 def _split_runs(df: DataFrame) -> DataFrame:
     """Mentions of a rule of two tokens whose matches touch: cut into pairs."""
     def pairs(m: Column) -> Column:
@@ -583,8 +594,8 @@ def tokre_alternation(spark, sf_dir):
 
 
 def _tokre_spans(spark, sf_dir, items) -> DataFrame:
-    kept = patterns.matches(F.col("tokens"), patterns.rules_of(items))
-    rows = tokens.elements(annotated(spark, sf_dir, "documents", "sen"), kept, "doc_id")
+    df = patterns.kept_matches(annotated(spark, sf_dir, "documents", "sen"), patterns.rules_of(items))
+    rows = tokens.elements(chains.only(df, "t_kept"), "t_kept", "doc_id")
     return rows.select("doc_id", F.col("x.begin").alias("tok_begin"), F.col("x.end").alias("tok_end"))
 
 
@@ -599,7 +610,8 @@ def _tokre_spans(spark, sf_dir, items) -> DataFrame:
 def tokre_group(spark, sf_dir):
     """The label goes to the whole match, the features to its second group."""
     items = [patterns.Item("([{word:/(?i)of/}]) (?$what [{word:/(?i)the/}])", "OF_THE", features={"part": "article"}, is_regexp=True, feature_group="$what")]
-    df = _matched(spark, sf_dir, "documents", items).select("doc_id", settled(F.col("tokens")).alias("tokens"))
+    df = chains.only(_matched(spark, sf_dir, "documents", items), "tokens", fields=("tok_re_ner_tag", "tok_re_ner_features"))
+    df = df.select("doc_id", settled(F.col("tokens")).alias("tokens"))
     of = lambda test: long_(F.size(F.filter("tokens", test)))
     counts = df.select("doc_id", of(lambda t: t["tok_re_ner_tag"] == "OF_THE").alias("n_labelled"), of(lambda t: t["tok_re_ner_features"]["part"] == "article").alias("n_featured"))
     return counts.where("n_labelled > 0")
@@ -660,7 +672,7 @@ def _all_mentions(spark, sf_dir) -> DataFrame:
     df = _matched(spark, sf_dir, "documents", LITERAL_ITEMS, "tag", "lemma", "ner")
     light = lambda kind: lambda m: F.struct(F.lit(kind).alias("kind"), m["entity_type"].alias("entity_type"), m["token_range"].alias("token_range"))
     both = access.mentions(F.transform("mentions", light("ner")), F.transform("tok_re_mentions", light("tok_re")))
-    return df.select("doc_id", F.posexplode_outer(both).alias("mention_id", "m")).where("m IS NOT NULL").select("doc_id", "mention_id", "m.*")
+    return chains.only(df, "mentions", "tok_re_mentions").select("doc_id", both.alias("both"))
 
 
 @query(
@@ -668,7 +680,7 @@ def _all_mentions(spark, sf_dir) -> DataFrame:
     chain("documents", "sen", "men") + _LITERAL_SQL + _BOTH + " SELECT doc_id, kind, entity_type, tb AS tok_begin, te AS tok_end FROM both_",
 )
 def mention_concat(spark, sf_dir):
-    out = _all_mentions(spark, sf_dir)
+    out = _mentions(_all_mentions(spark, sf_dir), "doc_id", column="both")
     return out.select("doc_id", "kind", "entity_type", F.col("token_range.begin").alias("tok_begin"), F.col("token_range.end").alias("tok_end"))
 
 
@@ -681,7 +693,8 @@ def mention_concat(spark, sf_dir):
     SELECT a.doc_id, count(*)::BIGINT AS n_pairs FROM ids a JOIN ids b ON a.doc_id = b.doc_id AND a.n < b.n AND a.tb <= b.te AND b.tb <= a.te GROUP BY a.doc_id""",
 )
 def mention_overlap(spark, sf_dir):
-    return access.overlapping_mentions(_all_mentions(spark, sf_dir), ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n_pairs"))
+    spans = F.transform("both", lambda m: m["token_range"])
+    return _all_mentions(spark, sf_dir).select("doc_id", access.overlap_count(spans).alias("n_pairs")).where("n_pairs > 0")
 
 
 ENTITIES = ["PERSON", "LOCATION", "DATE", "NUMBER", "MONEY"]
@@ -699,7 +712,7 @@ ENTITIES = ["PERSON", "LOCATION", "DATE", "NUMBER", "MONEY"]
     + " FROM src LEFT JOIN sizes USING (doc_id) LEFT JOIN men USING (doc_id) GROUP BY src.doc_id",
 )
 def mention_features(spark, sf_dir):
-    df = annotated(spark, sf_dir, "documents", "sen", "tag", "ner")
+    df = chains.only(annotated(spark, sf_dir, "documents", "sen", "tag", "ner"), "tokens", "mentions", fields=("sent_index",))
     return features.select_features(df, ["doc_id"], features.mention_features(F.col("mentions"), F.col("tokens"), ENTITIES), features.mention_feature_metas(ENTITIES))
 
 
@@ -708,7 +721,7 @@ pairs AS (SELECT a.doc_id, a.s, a.tb AS ab, a.te AS ae, b.tb AS bb, b.te AS be F
 
 
 def _neighbours(spark, sf_dir) -> DataFrame:
-    df = annotated(spark, sf_dir, "documents", "sen")
+    df = chains.only(annotated(spark, sf_dir, "documents", "sen"), "sents")
     both = let(F.col("sents"), lambda ss: F.transform(ss, lambda s, i: F.struct(s.alias("a"), at(ss, i + 1).alias("b"))))
     rows = tokens.elements(df, both, "doc_id").withColumnRenamed("x", "p").where("p.b IS NOT NULL")
     return rows.select("doc_id", F.col("p.a.sent_index").alias("s"), F.col("p.a.token_range").alias("a"), F.col("p.b.token_range").alias("b"))
@@ -819,7 +832,7 @@ def dictionary_ratio(spark, sf_dir):
 
 
 def _edges(spark, sf_dir) -> DataFrame:
-    df = annotated(spark, sf_dir, "conversations", "sen", "tag", "dep")
+    df = chains.only(annotated(spark, sf_dir, "conversations", "sen", "tag", "dep"), "dependency_edges")
     return tokens.elements(df, "dependency_edges", "conv_id", "turn").select("conv_id", "turn", "x.*")
 
 
@@ -839,7 +852,7 @@ def dep_edges(spark, sf_dir):
     + " SELECT conv_id, turn, edges.text AS root, tag AS root_tag FROM src LEFT JOIN edges ON edges.doc_id = src.doc_id AND s = 0 AND head = 0",
 )
 def root_token(spark, sf_dir):
-    df = annotated(spark, sf_dir, "conversations", "sen", "tag", "dep")
+    df = chains.only(annotated(spark, sf_dir, "conversations", "sen", "tag", "dep"), "tokens", "dependency_edges", fields=("text", "sent_index", "token_index", "pos_tag"))
     root = access.root_dependency(F.col("tokens"), F.col("dependency_edges"))
     return df.select("conv_id", "turn", root["text"].alias("root"), root["pos_tag"].alias("root_tag"))
 
@@ -850,7 +863,7 @@ def root_token(spark, sf_dir):
     + """ SELECT a.dep, lower(b.text) AS parent, count(*)::BIGINT AS n FROM edges a LEFT JOIN edges b ON a.doc_id = b.doc_id AND a.s = b.s AND a.head = b.k GROUP BY 1, 2""",
 )
 def dep_parent_join(spark, sf_dir):
-    out = syntax.join_parents(_edges(spark, sf_dir), ["conv_id", "turn"])
+    out = syntax.edge_parents(annotated(spark, sf_dir, "conversations", "sen", "tag", "dep"))
     return out.groupBy("dep", F.lower("parent_text").alias("parent")).agg(F.count("*").alias("n"))
 
 
@@ -877,7 +890,7 @@ def parse_tree_nodes(spark, sf_dir):
 
 @query("parse_tree_shift_reduce")
 def parse_tree_shift_reduce(spark, sf_dir):
-    df = syntax.add_parse_trees(annotated(spark, sf_dir, "conversations", "sen", "tag"), use_shift_reduce=True, include_score=True)
+    df = chains.only(syntax.add_parse_trees(annotated(spark, sf_dir, "conversations", "sen", "tag"), use_shift_reduce=True, include_score=True), "parse_nodes")
     return tokens.elements(df, "parse_nodes", "conv_id", "turn").withColumnRenamed("x", "n").groupBy("n.label").agg(F.count("*").alias("n"), F.sum("n.score").alias("score"))
 
 
@@ -906,7 +919,7 @@ def natlog_polarity(spark, sf_dir):
 
 
 def _roles(spark, sf_dir) -> DataFrame:
-    return annotated(spark, sf_dir, "conversations", "sen", "tag", "lemma", "dep", "srl")
+    return chains.only(annotated(spark, sf_dir, "conversations", "sen", "tag", "lemma", "dep", "srl"), "tokens", fields=("sent_index", "token_index", "srl"))
 
 
 _FRAMES = f"""CASE WHEN e.tag IN {o.listed(syntax.VERBS)} THEN CASE lemma {' '.join(f"WHEN '{k}' THEN '{x}'" for k, x in syntax.FRAMES.items())} ELSE lemma || '.01' END END"""
@@ -961,8 +974,8 @@ def srl_zip(spark, sf_dir):
     FROM r a LEFT JOIN r b ON a.doc_id = b.doc_id AND a.s = b.s AND a.head = b.k GROUP BY 1, 2""",
 )
 def srl_heads(spark, sf_dir):
-    rows = tokens.exploded(_roles(spark, sf_dir), "conv_id", "turn").select("conv_id", "turn", "sent_index", "srl.*")
-    return roles.join_heads(rows, ["conv_id", "turn"]).groupBy("dependency_label", "head_propbank").agg(F.count("*").alias("n"))
+    rows = roles.role_heads(annotated(spark, sf_dir, "conversations", "sen", "tag", "lemma", "dep", "srl"))
+    return rows.groupBy("dependency_label", "head_propbank").agg(F.count("*").alias("n"))
 
 
 _TREES = [(0, 3, 0.9, False), (0, 3, 0.5, True), (1, 4, 0.9, False), (1, 4, 0.5, True), (2, 3, 0.7, False), (2, 3, 0.6, False)]

@@ -20,11 +20,24 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("text", F.rtrim(F.regexp_replace("text", r"\r?\n", " ")))
 
 
+#: Bytes of a file for each task at most, when its rows are dealt out.
+DEALT_BYTES = 4 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in as many partitions as there are cores at least: annotating costs far more than dealing out the texts of a
-    file that is read as one. Larger inputs have more partitions than that and stay as they are."""
+    """``df`` so that no task has much more than its share of the rows: annotating costs far more than dealing out texts.
+
+    A file is planned as many partitions by its size, but a row group is read by one of them whole; a file of one row group is
+    therefore read by a single task however large it is. The rows of each partition are counted from the files' footers.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = min(max(cores, size // DEALT_BYTES), 100 * cores)
+    if df.rdd.getNumPartitions() >= cores:
+        rows = [r["count"] for r in df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+        if sum(rows) >= 2 * cores * max(rows, default=0):  # the largest partition is half a core's share at most
+            return df
+    return df.repartition(tasks)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
