@@ -123,7 +123,7 @@ def trees(s: Slice, longest: int, binary: bool, scored: bool) -> None:
         "index_range": ranges(made[:, 5], made[:, 6]),
         "score": pa.array(np.ones(len(made))) if scored else pa.nulls(len(made), pa.float64()),
     }
-    ends = np.concatenate([[0], np.cumsum(counts)])
+    s.node_ends = ends = np.concatenate([[0], np.cumsum(counts)])
     s.lists["parse_nodes"] = listed(ends[s.sentence_offsets], struct(fields))
 
 

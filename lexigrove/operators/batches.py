@@ -346,6 +346,7 @@ class Slice:
             "token_range": ranges(self.place[at], self.place[last] + 1),
             "char_range": ranges(self.begin[at], self.end[last]),
         }
+        self.sentence_fields = made
         self.lists["sents"] = listed(self.sentence_offsets, struct(made))
 
     def neighbours(self, values, empty):

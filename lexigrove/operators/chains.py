@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions.ranges import RANGE
 
+NATLOG = (
+    f"struct<polarity:string,operator:struct<surface_form:string,subject_token_range:{RANGE},object_token_range:{RANGE},"
+    f"quantifier_token_range:{RANGE},quantifier_token_head_index:int>>"
+)
+COREF = f"struct<id:int,mention:array<struct<sent_index:int,token_range:{RANGE},head_index:int,gender:string,animacy:string,type:string,number:string>>>"
 #: What a step adds to each token.
 FIELDS = {
     "tok": f"text:string,char_range:{RANGE},token_range:{RANGE}",
@@ -27,6 +32,8 @@ FIELDS = {
     "blank": "ner_tag:string,normalized_tag:string",
     "srl": "srl:struct<id:int,propbank:string,head_id:int,dependency_label:string,heads:array<struct<function_tag:string,dependency_label:string>>>",
     "tre": "tok_re_ner_tag:string,tok_re_ner_item_id:int,tok_re_ner_features:map<string,string>",
+    "natlog": f"natlog:{NATLOG}",
+    "mood": "sentiment:int",
 }
 _MENTION = f"text:string,entity_type:string,ner_tag:string,normalized_tag:string,sent_index:int,token_range:{RANGE},char_range:{RANGE}"
 #: The column that a step adds beside the tokens.
@@ -40,9 +47,10 @@ COLUMNS = {
     "kept": ("t_kept", "struct<begin:int,less:int,rule:int,end:int,from:int,to:int>"),
     "dep": ("dependency_edges", "struct<sent_index:int,token_index:int,parent_token_index:int,child_ord:int,dep:string,text:string>"),
     "tree": ("parse_nodes", f"struct<sent_index:int,node_id:int,parent_id:int,child_ord:int,label:string,token_index:int,index_range:{RANGE},score:double>"),
+    "coref": ("coref", COREF),
 }
 #: Steps that have to come before.
-NEEDS = {"tok": (), "sen": ("tok",), "tag": ("sen",), "lemma": ("tag",), "stop": ("lemma",), "ner": ("tag",), "blank": ("sen",), "tre": ("sen",), "kept": ("sen",), "dep": ("tag",), "tree": ("tag",), "srl": ("lemma", "dep"), "stats": ("tag",), "parents": ("dep",), "heads": ("srl",)}
+NEEDS = {"tok": (), "sen": ("tok",), "tag": ("sen",), "lemma": ("tag",), "stop": ("lemma",), "ner": ("tag",), "blank": ("sen",), "tre": ("sen",), "kept": ("sen",), "dep": ("tag",), "tree": ("tag",), "srl": ("lemma", "dep"), "stats": ("tag",), "parents": ("dep",), "heads": ("srl",), "natlog": ("tag",), "mood": ("sen",), "coref": ("ner",), "record": ("sen",)}
 
 
 @dataclass(frozen=True)
@@ -64,6 +72,12 @@ class Chain:
         given = [x for n in self.names if n in FIELDS for x in _parts(FIELDS[n]) if self.fields is None or x.split(":")[0] in self.fields]
         out = {"tokens": f"array<struct<{','.join(given)}>>"}
         out |= {COLUMNS[n][0]: f"array<{COLUMNS[n][1]}>" for n in self.names if n in COLUMNS}
+        if "mood" in self.names:
+            out["sents"] = out["sents"][:-2] + ",sentiment:int>>"
+            out["sentiment"] = "int"
+        for name, *options in self.steps:
+            if name == "record":
+                out["record_sents"] = options[0].simpleString()
         return {k: v for k, v in out.items() if self.columns is None or k in self.columns}
 
 
@@ -108,7 +122,7 @@ def annotator(steps: tuple[tuple, ...], kinds: dict[str, str], fields: tuple[str
 
 def annotated(texts: list[str], steps: tuple[tuple, ...], kinds: dict[str, str], fields: tuple[str, ...] | None = None) -> pa.StructArray:
     """The annotations of some texts."""
-    from lexigrove.operators import batch_rules, batch_trees
+    from lexigrove.operators import batch_meaning, batch_rules, batch_trees
     from lexigrove.operators import batches as b
 
     out = b.Slice(texts, steps[0][1])
@@ -143,6 +157,14 @@ def annotated(texts: list[str], steps: tuple[tuple, ...], kinds: dict[str, str],
                 batch_trees.parents(out)
             case "heads":
                 batch_trees.frames_of_heads(out)
+            case "natlog":
+                batch_meaning.natural_logic(out)
+            case "mood":
+                batch_meaning.score_sentiment(out, *options)
+            case "coref":
+                batch_meaning.resolve_coreference(out)
+            case "record":
+                batch_meaning.nested_sentences(out, *options)
     return b.struct({k: out.column(fields) if k == "tokens" else out.lists[k] for k in kinds})
 
 

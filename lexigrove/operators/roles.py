@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.functions.arrays import first, last, let
-from lexigrove.functions.ranges import RANGE, range_of
+from lexigrove.functions.ranges import range_of
 from lexigrove.operators import chains
 from lexigrove.operators.syntax import FRAMES, VERBS
 
@@ -110,7 +110,7 @@ def role_heads(df: DataFrame, *keys: str) -> DataFrame:
 
 MALE, FEMALE, NEUTRAL, PLURAL = ("he", "him", "his", "himself"), ("she", "her", "hers", "herself"), ("it", "its", "itself"), ("they", "them", "their")
 SPEAKER = ("i", "me", "my", "myself")
-COREF = f"struct<id:int,mention:array<struct<sent_index:int,token_range:{RANGE},head_index:int,gender:string,animacy:string,type:string,number:string>>>"
+COREF = chains.COREF
 
 
 def _candidates(mentions: Column, tokens: Column) -> Column:
@@ -170,8 +170,10 @@ def resolve_coreference(df: DataFrame) -> DataFrame:
     """``df`` with ``coref``: chains of at least two mentions, by first mention; indexes count from 0.
 
     Equal names corefer; a pronoun takes the nearest name before it that fits; pronouns of the speaker are one chain. Needs
-    ``mentions`` and part-of-speech tags. Built-in expressions over a row's names and pronouns.
+    ``mentions`` and part-of-speech tags. Outside a chain, built-in expressions over a row's names and pronouns.
     """
+    if (out := chains.extended(df, "coref")) is not None:
+        return out
     placed = df.withColumn("c_placed", _with_chain(_candidates(F.col("mentions"), F.col("tokens"))))
 
     def over(cs: Column) -> Column:

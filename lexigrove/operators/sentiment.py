@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.functions.arrays import at, drop_take, let
+from lexigrove.operators import chains
 
 #: Words by score.
 WORDS = {
@@ -32,6 +33,8 @@ def clamp(score: Column) -> Column:
 
 def score_sentiment(df: DataFrame, aggregate: bool = True) -> DataFrame:
     """Tokens and sentences get ``sentiment``; column ``sentiment`` is the sum over sentences if ``aggregate``, else null."""
+    if (out := chains.extended(df, "mood", aggregate)) is not None:
+        return out
 
     def over(ts: Column) -> Column:
         def one(t: Column, i: Column) -> Column:

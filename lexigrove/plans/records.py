@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from lexigrove.functions.arrays import drop_take, if_some, let
 from lexigrove.functions.ranges import RANGE
+from lexigrove.operators import chains
+from lexigrove.operators.chains import NATLOG
 from lexigrove.operators.roles import COREF, SRL
 
 FEATURES = "map<string,string>"
 MENTION = f"text:string,entity_type:string,ner_tag:string,normalized_tag:string,sent_index:int,token_range:{RANGE},char_range:{RANGE}"
 PATTERN_MENTION = f"{MENTION},tok_re_ner_tag:string,tok_re_ner_item_id:int,tok_re_ner_features:{FEATURES}"
-NATLOG = (
-    f"struct<polarity:string,operator:struct<surface_form:string,subject_token_range:{RANGE},object_token_range:{RANGE},"
-    f"quantifier_token_range:{RANGE},quantifier_token_head_index:int>>"
-)
 TOKEN_FIELDS = {
     "text": "string",
     "pos_tag": "string",
@@ -40,11 +39,20 @@ TOKEN_FIELDS = {
 NODE = f"struct<node_id:int,parent_id:int,child_ord:int,label:string,token_index:int,index_range:{RANGE},sentiment:int,score:double>"
 EDGE = "struct<token_index:int,parent_token_index:int,child_ord:int,dep:string,text:string>"
 
+SENTENCE = (
+    f"struct<text:string,sent_index:int,sentiment:int,parse_tree:array<{NODE}>,dependency_parse_tree:array<{EDGE}>,"
+    f"tokens:array<struct<{','.join(f'{k}:{v}' for k, v in TOKEN_FIELDS.items())}>>>"
+)
+
 
 def to_record(df: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
     """(keys, panon): one nested record per row; empty lists become null."""
     columns, have = set(df.columns), {}
-    if "tokens" in columns:
+    chained = chains.extended(df, "record", _parse_datatype_string(f"array<{SENTENCE}>"), text_col=text_col)
+    if chained is not None:
+        used = ("mentions", "tok_re_mentions", "coref", "sentiment")
+        df = chains.only(chained, "record_sents", *[k for k in used if k in columns])
+    elif "tokens" in columns:
         have = {f.name for f in df.schema["tokens"].dataType.elementType.fields}
     null = lambda kind: F.lit(None).cast(kind)
     column = lambda name, kind: if_some(F.col(name)).cast(kind) if name in columns else null(kind)
@@ -74,7 +82,9 @@ def to_record(df: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
 
         return if_some(F.transform(F.col("sents"), one))
 
-    if "tokens" not in columns:
+    if chained is not None:
+        sents = F.col("record_sents")
+    elif "tokens" not in columns:
         sents = F.lit(None)
     elif "sents" in columns:
         sents = let(F.transform("tokens", token), sentences)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.functions.arrays import settled
+from lexigrove.operators import chains
 from lexigrove.plans import components as c
 from lexigrove.plans.components import Component
 
@@ -180,6 +181,8 @@ def annotate(df: DataFrame, text_col: str = "text", context: Context | None = No
             df = x(df)
         elif x.parser in known:
             df = _LIBRARIES[x.parser].run(df, x, text_col)
+    if chains.steps(df):  # what a chain gives is settled
+        return df
     return df.withColumns({name: settled(F.col(name)) for name in df.columns if name not in own})
 
 

@@ -90,3 +90,47 @@ def test_one_row_group_is_dealt_out(spark, tmp_path):
 def test_patterns_that_may_differ_from_the_jvm_are_left_to_it():
     assert batch_rules.translated("(?i)the|of") and batch_rules.translated(r"\p{L}+") and batch_rules.translated("(?!4000)4[0-9]{15}")
     assert not any(batch_rules.translated(x) for x in (r"\bthe", "[a&&b]", r"(?<=a)b", r"\x41", "(?i)\\p{Lu}", "a(?i)b"))
+
+
+MEANT = [
+    "John Smith lives in Paris. He likes it. Every dog saw no cat, but she did not see all of them.", "I never said my dog is great. It is not very good! This is terrible; the worst.",
+    "Mary met John. She likes him, and their dog loves Acme Inc. It grows. Mary knows.", "No one without some few cats ran. Neither works.", "They saw it. He saw John and john.",
+]
+
+
+def recorded(df, together: bool, *left_out: str):
+    from lexigrove.plans import registry
+    from lexigrove.plans.records import to_record
+
+    config = [x for x in registry.create_parse_config() if x.component not in left_out]
+    if not together:
+        config = [lambda x: x.withColumn("tokens", tokens.token_array(F.col("text"))), *config[1:]]
+    out = registry.annotate(df, context=registry.create_context(config))
+    assert bool(chains.steps(out)) == together
+    return to_record(out, "doc_id")
+
+
+@pytest.mark.parametrize("left_out", [(), ("parse-tree", "sentiment", "stopword", "coref"), ("dependency-parse-tree", "natlog", "ner", "coref", "srl")])
+def test_records_of_chains_equal_those_of_expressions(spark, left_out):
+    df = spark.createDataFrame(list(enumerate([*ODD, *MEANT, *MEANT])), "doc_id long, text string")
+    a, b = recorded(df, True, *left_out), recorded(df, False, *left_out)
+    assert a.schema["panon"].dataType.simpleString() == b.schema["panon"].dataType.simpleString()
+    wanted = {r["doc_id"]: r.asDict(True) for r in b.collect()}
+    assert {r["doc_id"]: r.asDict(True) for r in a.collect()} == wanted
+
+
+def test_annotations_by_column_equal_those_of_expressions(spark):
+    from lexigrove.plans import registry
+
+    df = spark.createDataFrame(list(enumerate([*ODD, *MEANT])), "doc_id long, text string")
+    config = registry.create_parse_config()
+    begun = [lambda x: x.withColumn("tokens", tokens.token_array(F.col("text"))), *config[1:]]
+    a, b = (registry.annotate(df, context=registry.create_context(c)) for c in (config, begun))
+    assert {f.name: f.dataType.simpleString() for f in a.schema} == {f.name: f.dataType.simpleString() for f in b.schema}
+    wanted = {r["doc_id"]: r.asDict(True) for r in b.collect()}
+    assert {r["doc_id"]: r.asDict(True) for r in a.collect()} == wanted
+
+
+def test_the_default_pipeline_is_one_pass_in_arrow(spark):
+    plan = catalogue.QUERIES["default_pipeline"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and "lambdafunction" not in plan
