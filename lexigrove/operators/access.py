@@ -39,7 +39,8 @@ def tokens_by_sentence(tokens: Column, sents: Column, index: Column | int, begin
 def root_dependency(tokens: Column, edges: Column) -> Column:
     """The token that the first root of the first sentence's dependencies stands for; null without a tree."""
     root = first(F.filter(edges, lambda e: e["parent_token_index"] == 0))
-    return first(F.filter(tokens, lambda t: (t["sent_index"] == root["sent_index"]) & (t["token_index"] == root["token_index"])))
+    its = lambda r: lambda t: (t["sent_index"] == r["sent_index"]) & (t["token_index"] == r["token_index"])
+    return let(root, lambda r: first(F.filter(tokens, its(r))))  # looked for once, not once more for each token
 
 
 def mentions(*columns: Column) -> Column:

@@ -134,3 +134,14 @@ def test_annotations_by_column_equal_those_of_expressions(spark):
 def test_the_default_pipeline_is_one_pass_in_arrow(spark):
     plan = catalogue.QUERIES["default_pipeline"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython [") == 1 and "lambdafunction" not in plan
+
+
+def test_the_root_is_looked_for_once(spark):
+    text = access.root_dependency(F.col("tokens"), F.col("edges_of_row"))._jc.toString()
+    assert text.count("edges_of_row") == 1  # not in the lambda over tokens, which would search all edges for each of them
+
+
+@pytest.mark.parametrize("name", ["tokre_group", "pos_description", "range_overlap", "srl_propbank", "srl_propbank_sentence", "tokre_lemma", "tokre_case", "mention_features", "dep_parent_join", "srl_heads", "mention_overlap"])
+def test_other_queries_annotate_once_and_in_arrow(spark, name):
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython [run(text#") == 1 and "regexp_extract_all" not in plan
