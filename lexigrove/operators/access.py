@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lexigrove.functions.arrays import at, drop_take, first, let
 from lexigrove.functions.ranges import in_range, overlaps, token_in_range
 from lexigrove.functions.tags import GO_TAGS, is_go_tag
+from lexigrove.operators import chains
+from lexigrove.operators.batches import pairs_met
 
 
 def token(tokens: Column, index: Column | int, strict: bool = False) -> Column:
@@ -121,20 +123,27 @@ def overlapping_mentions(found: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def overlap_count(spans: Column) -> Column:
-    """Pairs of an array of ranges that overlap (ends count), as long: those that begin by a range's end, less those that have
-    ended before its begin, so no pair is formed."""
+    """Pairs of an array of ranges that overlap (ends count), as long (:func:`batches.pairs_met`)."""
 
     @F.arrow_udf("bigint")
     def run(spans: pa.Array) -> pa.Array:
         flat, sizes = spans.flatten(), pc.fill_null(pc.list_value_length(spans), 0)
         row = np.repeat(np.arange(len(spans)), np.asarray(sizes))
-        begin, end = (np.asarray(flat.field(k)).astype(np.int64) + (row << 32) for k in ("begin", "end"))
-        met = np.searchsorted(np.sort(begin), end, "right") - np.searchsorted(np.sort(end), begin, "left") - 1
-        return pa.array(np.bincount(row, met, len(spans)).astype(np.int64) // 2)
+        return pa.array(pairs_met(row, np.asarray(flat.field("begin")), np.asarray(flat.field("end")), len(spans)))
 
     return run.asNondeterministic()(spans)
 
 
+def overlap_pairs_of(df: DataFrame) -> tuple[DataFrame, Column]:
+    """A table and the pairs of its rows' mentions, those of patterns among them, that overlap; counted where annotators run
+    together, so that no second Python worker stands beside each of theirs."""
+    out = chains.extended(df, "pairs")
+    if out is None:
+        spans = lambda column: F.transform(column, lambda m: m["token_range"])
+        return df, overlap_count(mentions(spans("mentions"), spans("tok_re_mentions")))
+    return chains.only(out, "overlap_pairs"), first(F.col("overlap_pairs"))
+
+
 def with_words(tokens: DataFrame, words: DataFrame, column: str = "word", how: str = "left_semi") -> DataFrame:
     """Tokens whose lower-cased text is in a table of words (``left_semi``), or is not (``left_anti``)."""
     return tokens.join(words, F.lower(tokens["text"]) == words[column], how)

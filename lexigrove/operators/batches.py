@@ -488,6 +488,14 @@ class Slice:
         made |= {k: self.fields[k].take(head) for k in extra} | (more(b, e) if more else {})
         return listed(np.searchsorted(self.doc[b], np.arange(len(self.texts) + 1)), struct(made))
 
+    def overlaps(self) -> None:
+        """``overlap_pairs``, one element for each text: pairs of its mentions, those of patterns among them, that overlap."""
+        found = [self.lists[k] for k in ("mentions", "tok_re_mentions")]
+        row = np.concatenate([np.repeat(np.arange(len(x)), np.diff(np.asarray(x.offsets))) for x in found])
+        begin, end = (np.concatenate([np.asarray(x.values.field("token_range").field(k)) for x in found]) for k in ("begin", "end"))
+        n = len(self.texts)
+        self.lists["overlap_pairs"] = listed(np.arange(n + 1), pa.array(pairs_met(row, begin, end, n)))
+
     def column(self, fields: tuple[str, ...] | None) -> pa.Array:
         """``tokens`` with some or all fields."""
         return listed(self.offsets, struct({k: x for k, x in self.fields.items() if fields is None or k in fields}))
@@ -505,5 +513,13 @@ def ranges(begin: np.ndarray, end: np.ndarray) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(end, pa.int32())], fields=list(_RANGE))
 
 
+def pairs_met(row: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Pairs of ranges of the same row, of ``n`` rows, that overlap (ends count): those that begin by a range's end, less those
+    that have ended before its begin, so no pair is formed."""
+    begin, end = (x.astype(np.int64) + (row << 32) for x in (begin, end))
+    met = np.searchsorted(np.sort(begin), end, "right") - np.searchsorted(np.sort(end), begin, "left") - 1
+    return np.bincount(row, met, n).astype(np.int64) // 2
+
+
 def listed(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)

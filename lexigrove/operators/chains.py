@@ -44,13 +44,14 @@ COLUMNS = {
     "stats": ("pos_stats", "struct<n:int,noun:int,verb:int,adjective:int,adverb:int,wh:int,first:string,last:string>"),
     "parents": ("edge_parents", "struct<dep:string,parent_text:string>"),
     "heads": ("role_heads", "struct<dependency_label:string,head_propbank:string>"),
+    "pairs": ("overlap_pairs", "bigint"),
     "kept": ("t_kept", "struct<begin:int,less:int,rule:int,end:int,from:int,to:int>"),
     "dep": ("dependency_edges", "struct<sent_index:int,token_index:int,parent_token_index:int,child_ord:int,dep:string,text:string>"),
     "tree": ("parse_nodes", f"struct<sent_index:int,node_id:int,parent_id:int,child_ord:int,label:string,token_index:int,index_range:{RANGE},score:double>"),
     "coref": ("coref", COREF),
 }
 #: Steps that have to come before.
-NEEDS = {"tok": (), "sen": ("tok",), "tag": ("sen",), "lemma": ("tag",), "stop": ("lemma",), "ner": ("tag",), "blank": ("sen",), "tre": ("sen",), "kept": ("sen",), "dep": ("tag",), "tree": ("tag",), "srl": ("lemma", "dep"), "stats": ("tag",), "parents": ("dep",), "heads": ("srl",), "natlog": ("tag",), "mood": ("sen",), "coref": ("ner",), "record": ("sen",)}
+NEEDS = {"tok": (), "sen": ("tok",), "tag": ("sen",), "lemma": ("tag",), "stop": ("lemma",), "ner": ("tag",), "blank": ("sen",), "tre": ("sen",), "pairs": ("ner", "tre"), "kept": ("sen",), "dep": ("tag",), "tree": ("tag",), "srl": ("lemma", "dep"), "stats": ("tag",), "parents": ("dep",), "heads": ("srl",), "natlog": ("tag",), "mood": ("sen",), "coref": ("ner",), "record": ("sen",)}
 
 
 @dataclass(frozen=True)
@@ -143,6 +144,8 @@ def annotated(texts: list[str], steps: tuple[tuple, ...], kinds: dict[str, str],
                 out.no_entities()
             case "tre":
                 batch_rules.match_patterns(out, *options)
+            case "pairs":
+                out.overlaps()
             case "kept":
                 batch_rules.keep(out, *options)
             case "dep":

@@ -693,8 +693,8 @@ def mention_concat(spark, sf_dir):
     SELECT a.doc_id, count(*)::BIGINT AS n_pairs FROM ids a JOIN ids b ON a.doc_id = b.doc_id AND a.n < b.n AND a.tb <= b.te AND b.tb <= a.te GROUP BY a.doc_id""",
 )
 def mention_overlap(spark, sf_dir):
-    spans = F.transform("both", lambda m: m["token_range"])
-    return _all_mentions(spark, sf_dir).select("doc_id", access.overlap_count(spans).alias("n_pairs")).where("n_pairs > 0")
+    df, pairs = access.overlap_pairs_of(_matched(spark, sf_dir, "documents", LITERAL_ITEMS, "tag", "lemma", "ner"))
+    return df.select("doc_id", settled(pairs).alias("n_pairs")).where("n_pairs > 0")
 
 
 ENTITIES = ["PERSON", "LOCATION", "DATE", "NUMBER", "MONEY"]

@@ -145,3 +145,17 @@ def test_the_root_is_looked_for_once(spark):
 def test_other_queries_annotate_once_and_in_arrow(spark, name):
     plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython [run(text#") == 1 and "regexp_extract_all" not in plan
+
+
+def test_overlaps_are_counted_in_the_same_pass(spark):
+    plan = catalogue.QUERIES["mention_overlap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1  # a second one would be a second worker for each task
+    df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    found = []
+    for together in (True, False):
+        x = tokens.tokenize(df) if together else df.withColumn("tokens", tokens.token_array(F.col("text")))
+        x = entities.recognize_entities(morphology.tag_parts_of_speech(tokens.split_sentences(x)))
+        x, pairs = access.overlap_pairs_of(patterns.match_patterns(x, patterns.rules_of(catalogue.LITERAL_ITEMS)))
+        assert bool(chains.steps(x)) == together
+        found.append({r["doc_id"]: r["n"] for r in x.select("doc_id", pairs.alias("n")).collect()})
+    assert found[0] == found[1] and len(found[0]) == len(ODD) and sum(found[0].values())
