@@ -22,6 +22,8 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 #: Bytes of a file for each task at most, when its rows are dealt out.
 DEALT_BYTES = 4 << 20
+#: Rows for each task at most, then: repeated texts take few bytes of a file, but no less work.
+DEALT_ROWS = 5_000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -32,12 +34,10 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    tasks = min(max(cores, size // DEALT_BYTES), 100 * cores)
-    if df.rdd.getNumPartitions() >= cores:
-        rows = [r["count"] for r in df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
-        if sum(rows) >= 2 * cores * max(rows, default=0):  # the largest partition is half a core's share at most
-            return df
-    return df.repartition(tasks)
+    rows = [r["count"] for r in df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    if sum(rows) >= 2 * cores * max(rows, default=0):  # the largest partition is half a core's share at most
+        return df
+    return df.repartition(min(max(cores, size // DEALT_BYTES, sum(rows) // DEALT_ROWS), 100 * cores))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

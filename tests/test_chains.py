@@ -159,3 +159,10 @@ def test_overlaps_are_counted_in_the_same_pass(spark):
         assert bool(chains.steps(x)) == together
         found.append({r["doc_id"]: r["n"] for r in x.select("doc_id", pairs.alias("n")).collect()})
     assert found[0] == found[1] and len(found[0]) == len(ODD) and sum(found[0].values())
+
+
+def test_rows_that_take_few_bytes_are_dealt_out_too(spark, tmp_path):
+    pq.write_table(pa.table({"doc_id": range(60_000), "text": ["He saw it. " * 40] * 60_000}), tmp_path / "documents.parquet", compression="zstd")
+    df = utterances.table(spark, str(tmp_path), "documents", "doc_id", "text")
+    rows = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(rows) == 60_000 and max(rows) <= 6_000  # not a share for each core, however long the table is
