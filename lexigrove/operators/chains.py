@@ -54,6 +54,10 @@ COLUMNS = {
 NEEDS = {"tok": (), "sen": ("tok",), "tag": ("sen",), "lemma": ("tag",), "stop": ("lemma",), "ner": ("tag",), "blank": ("sen",), "tre": ("sen",), "pairs": ("ner", "tre"), "kept": ("sen",), "dep": ("tag",), "tree": ("tag",), "srl": ("lemma", "dep"), "stats": ("tag",), "parents": ("dep",), "heads": ("srl",), "natlog": ("tag",), "mood": ("sen",), "coref": ("ner",), "record": ("sen",)}
 
 
+#: Steps whose needs are all in :data:`NEEDS` and their patterns, so that chains of them run without what nobody asks for.
+_PLAIN = {"tok", "sen", "tag", "lemma", "stop", "ner", "blank", "tre", "pairs", "kept", "stats"}
+
+
 @dataclass(frozen=True)
 class Chain:
     """A table without annotations, its text column and steps (name, options); ``columns`` and ``fields`` (of tokens) that are given, None: all."""
@@ -81,6 +85,24 @@ class Chain:
                 out["record_sents"] = options[0].simpleString()
         return {k: v for k, v in out.items() if self.columns is None or k in self.columns}
 
+    def needed(self) -> tuple[tuple, ...]:
+        """The steps without those that neither a given column or field nor another needed step comes from."""
+        if not set(self.names) <= _PLAIN:
+            return self.steps
+        kinds, needed = self.schema(), {"tok"}
+        for name, *options in reversed(self.steps):
+            fields = [x.split(":")[0] for x in _parts(FIELDS[name])] if name in FIELDS and "tokens" in kinds else []
+            if name in needed or any(self.fields is None or x in self.fields for x in fields) or name in COLUMNS and COLUMNS[name][0] in kinds:
+                needed |= {name, *NEEDS[name]}
+                if name == "tre":
+                    needed |= {"ner", "blank"}  # mentions carry an entity tag, of either
+                if name in ("tre", "kept"):
+                    from lexigrove.operators.batch_rules import tests_of
+
+                    attributes = {t.attribute for rule in options[0] for t in tests_of(rule)}
+                    needed |= (attributes & {"tag", "lemma"}) | ({"ner", "blank"} if "ner" in attributes else set())
+        return tuple(s for s in self.steps if s[0] in needed)
+
 
 def _parts(text: str) -> list[str]:
     out, deep = [""], 0
@@ -95,7 +117,7 @@ def _parts(text: str) -> list[str]:
 
 def _planned(chain: Chain) -> DataFrame:
     kinds = chain.schema()
-    run = annotator(chain.steps, kinds, chain.fields)
+    run = annotator(chain.needed(), kinds, chain.fields)
     out = chain.base.withColumn("lexigrove_all_", run(F.col(chain.text_col).cast("string")))
     out = out.withColumns({k: F.col("lexigrove_all_")[k] for k in kinds}).drop("lexigrove_all_")
     out.__dict__["lexigrove_chain"] = chain

@@ -166,3 +166,42 @@ def test_rows_that_take_few_bytes_are_dealt_out_too(spark, tmp_path):
     df = utterances.table(spark, str(tmp_path), "documents", "doc_id", "text")
     rows = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(rows) == 60_000 and max(rows) <= 6_000  # not a share for each core, however long the table is
+
+
+@pytest.mark.parametrize(
+    ("name", "wanted"),
+    [
+        ("tokre_group", ["tok", "sen", "blank", "tre"]),
+        ("tokre_sequence", ["tok", "sen", "tag", "blank", "tre"]),
+        ("tokre_literal", ["tok", "sen", "blank", "tre"]),
+        ("tokre_case", ["tok", "sen", "blank", "tre"]),
+        ("tokre_lemma", ["tok", "sen", "tag", "lemma", "blank", "tre"]),
+        ("wordcount_quality", ["tok", "sen", "tag", "lemma", "stop"]),
+        ("pos_tag", ["tok", "sen", "tag"]),
+        ("mention_features", ["tok", "sen", "tag", "ner"]),
+    ],
+)
+def test_steps_that_nothing_needs_are_left_out(spark, monkeypatch, name, wanted):
+    run = []
+    made = chains.annotator
+    monkeypatch.setattr(chains, "annotator", lambda steps, *rest: (run.append([s[0] for s in steps]), made(steps, *rest))[1])
+    catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert run[-1] == wanted
+
+
+def test_steps_of_whole_tables_and_of_records_are_kept(spark):
+    df = spark.createDataFrame([(1, "The cat's hat is old.")], "doc_id long, text string")
+    chain = annotated(df, True).__dict__["lexigrove_chain"]
+    assert chain.needed() == chain.steps
+
+
+def test_classes_of_code_points():
+    import numpy as np
+
+    from lexigrove.operators import batches
+
+    text = "\n".join(x or "" for x in ODD) + "\ud800 ǅ  \x00ÿĀ"
+    cp = np.array([ord(c) for c in text], np.uint32)
+    assert batches._classes_of(text, cp).tolist() == batches._classes()[cp].tolist()
+    words = batches.Vocabulary()
+    assert words.number(["b", "a", "b"]).tolist() == [0, 1, 0] and words.number(["c", "a"]).tolist() == [2, 1] and words.words == ["b", "a", "c"]
